@@ -47,13 +47,14 @@ def of_keys(facts: DataFrame, column: str, keys: DataFrame, small: bool, setting
     """Facts whose ``column`` is one of the values of the one-column frame ``keys``."""
     facts, keys = facts.select("s", "p", "o"), keys.toDF(column)
     if small:
-        return facts.join(F.broadcast(keys), on=column, how="left_semi")
+        return facts.join(F.broadcast(keys), on=column, how="left_semi").select("s", "p", "o")
     return lookup_join(facts, keys.distinct(), [column], small, settings).select("s", "p", "o")
 
 
 def chain(left: DataFrame, right: DataFrame, hot_s=(), hot_o=(), salts: int = 32) -> DataFrame:
     """Transitive step: x p y from ``left`` and y p z from ``right`` give x p z, x != z."""
-    step = compose(left.toDF("src", "p", "dst"), right.toDF("src", "p", "dst"), ["p"], hot_o, hot_s, salts)
+    left, right = (df.selectExpr("s as src", "p", "o as dst") for df in (left, right))
+    step = compose(left, right, ["p"], hot_o, hot_s, salts)
     return step.selectExpr("src as s", "p", "dst as o")
 
 

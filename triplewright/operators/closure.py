@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..plans.workspace import Workspace
 from ..settings import Settings
 from .joins import hot_values, skew_join
-from .sets import difference, union_all
+from .sets import union_all, unseen
 
 
 def compose(left: DataFrame, right: DataFrame, by: list[str], hot_mid_left=(), hot_mid_right=(),
@@ -28,7 +28,7 @@ def transitive_closure(ws: Workspace, edges: DataFrame, by: list[str] | None = N
     """
     by = list(by or [])
     edges = edges.select(*by, "src", "dst")
-    pairs = ws.rounds("closure", edges.schema)
+    pairs = ws.rounds("closure", edges.schema, settings.rows_per_file)
     pairs.append(edges.where("src <> dst").distinct())
     hot_src: set[str] = set()
     hot_dst: set[str] = set()
@@ -41,5 +41,5 @@ def transitive_closure(ws: Workspace, edges: DataFrame, by: list[str] | None = N
         steps = [compose(newest, pairs.read(), by, **spread)]
         if pairs.last > 0:
             steps.append(compose(pairs.read(0, pairs.last - 1), newest, by, **spread))
-        pairs.append(difference(union_all(steps), pairs.read()))
+        pairs.append(unseen(union_all(steps), pairs.read()))
     return pairs.read()

@@ -55,7 +55,7 @@ def connected_components(ws: Workspace, edges: DataFrame, settings: Settings = S
     Nodes with only a self edge are left out. The edge set never grows, and the loop ends when the
     edges are stars around the smallest nodes.
     """
-    stars = ws.rounds("components", _downward(edges).schema)
+    stars = ws.rounds("components", _downward(edges).schema, settings.rows_per_file)
     rows = stars.append(_downward(edges))
     while rows and not _is_star_forest(stars.read(stars.last)):
         last = stars.read(stars.last)

@@ -81,14 +81,26 @@ def property_rows(properties: DataFrame, rule: str) -> DataFrame:
     return rows(properties, rule, "p")
 
 
+@dataclass
+class Keys:
+    """A set of predicates: listed when there are few, else a frame (p) that was measured small."""
+    listed: list[str] | None
+    frame: DataFrame | None = None
+
+    def keep(self, facts: DataFrame) -> DataFrame:
+        if self.listed is not None:
+            return facts.where(F.col("p").isin(self.listed))
+        return facts.join(F.broadcast(self.frame), on="p", how="left_semi")
+
+
 @dataclass
 class Rulebook:
     table: DataFrame                    # rule rows
     subclass: DataFrame                 # (src, dst), closed
     subproperty: DataFrame              # (src, dst), closed
     small: dict[str, bool] = field(default_factory=dict)     # rule -> broadcast, for non-empty rules
-    predicates: list[str] | None = None  # predicates any rule reads or writes; None if too many
-    heads: list[str] | None = None       # predicates any rule writes; None if too many
+    predicates: Keys | None = None       # predicates any rule reads or writes; None if too many
+    heads: Keys | None = None            # predicates any rule writes; None if too many
     type_is_property: bool = False       # rdf:type itself is a key of a property, value, ... rule
     classes: DataFrame | None = None     # classes (o) any rule reads or writes; None if too many
 
@@ -191,8 +203,8 @@ def _measure(book: Rulebook, settings: Settings) -> None:
             f" struct({head} as p, false as read, true as write, {moved} as moved)))")
         .where("p is not null").groupBy("p")
         .agg(F.max("read").alias("read"), F.max("write").alias("write"), F.max("moved").alias("moved"))
-        .selectExpr("'predicate' as what", "p as name", "1 as n", "0 as bytes", "read", "write", "moved")
     )
+    names = touched.selectExpr("'predicate' as what", "p as name", "1 as n", "0 as bytes", "read", "write", "moved")
     classes = (
         book.table.selectExpr(
             "explode(array(if(rule in ('class', 'all'), k1, null), if(rule = 'some', k2, null),"
@@ -203,7 +215,8 @@ def _measure(book: Rulebook, settings: Settings) -> None:
         size(book.table, "rule", "rule", ["k1", "k2", "hp", "ho"]),
         size(classes, "classes", "'classes'", ["o"]),
         # rdf:type first, so that it is never cut off.
-        touched.orderBy(F.expr(f"name <> {TYPE}")).limit(settings.filter_values + 1),
+        names.orderBy(F.expr(f"name <> {TYPE}")).limit(settings.filter_values + 1),
+        size(touched, "predicates", "'predicates'", ["p"]),
     ]).collect()
 
     def fits(r):
@@ -211,10 +224,14 @@ def _measure(book: Rulebook, settings: Settings) -> None:
 
     book.small = {r.name: fits(r) for r in report if r.what == "rule"}
     named = [r for r in report if r.what == "predicate"]
+    always = {v.SAME_AS, v.TYPE} if any(book.has(rule) for rule in ("class", "some", "all")) else {v.SAME_AS}
     if len(named) <= settings.filter_values:
-        by_class = {v.TYPE} if any(book.has(rule) for rule in ("class", "some", "all")) else set()
-        book.predicates = sorted({r.name for r in named} | {v.SAME_AS} | by_class)
-        book.heads = sorted(r.name for r in named if r.write)
+        book.predicates = Keys(sorted({r.name for r in named} | always))
+        book.heads = Keys(sorted(r.name for r in named if r.write))
+    elif all(fits(r) for r in report if r.what == "predicates"):
+        extra = book.table.sparkSession.createDataFrame([(p,) for p in sorted(always)], "p string")
+        book.predicates = Keys(None, touched.select("p").union(extra).distinct())
+        book.heads = Keys(None, touched.where("write").select("p"))
     book.type_is_property = any(r.name == v.TYPE and r.read for r in named)
     # A rule that moves any object under rdf:type can write any class, so no class can be left out.
     any_class = book.type_is_property or any(r.name == v.TYPE and r.moved for r in named)

@@ -49,17 +49,19 @@ class Workspace:
         writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def rounds(self, name: str, schema: StructType, partition_by: str | None = None) -> "Rounds":
-        return Rounds(self, name, schema, partition_by)
+    def rounds(self, name: str, schema: StructType, rows_per_file: int, partition_by: str | None = None) -> "Rounds":
+        return Rounds(self, name, schema, rows_per_file, partition_by)
 
 
 class Rounds:
     """A table that grows by one ``round=n`` folder per iteration of a loop."""
 
-    def __init__(self, workspace: Workspace, name: str, schema: StructType, partition_by: str | None):
+    def __init__(self, workspace: Workspace, name: str, schema: StructType, rows_per_file: int,
+                 partition_by: str | None):
         self.workspace = workspace
         self.path = f"{workspace.root}/{workspace.unique(name)}"
         self.schema = StructType(list(schema.fields)).add("round", IntegerType())
+        self.rows_per_file = rows_per_file
         self.partition_by = partition_by
         self.counts: list[int] = []
 
@@ -70,18 +72,24 @@ class Rounds:
     def append(self, df: DataFrame) -> int:
         """Write the next round and return its row count, read from the written files."""
         number = len(self.counts)
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("errorifexists").option("maxRecordsPerFile", self.rows_per_file)
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)
         writer.parquet(f"{self.path}/round={number}")
-        self.counts.append(self.read(number, number).count())
-        return self.counts[-1]
+        self.counts.append(-1)
+        self.counts[number] = self.read(number, number).count()
+        return self.counts[number]
+
+    def close(self) -> int:
+        """End with an empty round, without writing one."""
+        self.counts.append(0)
+        return 0
 
     def read(self, first: int = 0, last: int | None = None) -> DataFrame:
         """Rounds ``first`` to ``last``, both included, as one scan."""
         last = self.last if last is None else last
-        if first > last:
+        paths = [f"{self.path}/round={n}" for n in range(first, last + 1) if self.counts[n] or n == 0]
+        if not paths:
             return self.workspace.spark.createDataFrame([], self.schema).drop("round")
-        paths = [f"{self.path}/round={n}" for n in range(first, last + 1)]
         reader = self.workspace.spark.read.schema(self.schema).option("basePath", self.path)
         return reader.parquet(*paths).drop("round")

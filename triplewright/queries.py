@@ -250,7 +250,7 @@ def sameas_counts(spark, folder):
 # The whole fixpoint
 
 def _run(spark, folder) -> Result:
-    return materialize(lift(spark, folder))
+    return materialize(lift(spark, folder), stage=True)
 
 
 def new_instances(spark, folder):

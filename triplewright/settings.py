@@ -10,10 +10,29 @@ class Settings:
     # A rule table is broadcast only while its measured size is under both limits.
     broadcast_rows: int = 1_000_000
     broadcast_bytes: int = 64 * 1024 * 1024
-    # At most this many predicate names are put into a scan filter.
-    filter_values: int = 500
+    # At most this many predicate names are put into a scan filter; more go into a broadcast semi join.
+    filter_values: int = 200
+    # Up to this many newest facts, the candidates of a round are written before they are compared with the
+    # known facts: a few candidates can then be sent to the known facts instead of shuffling those.
+    small_round_rows: int = 1_000_000
+    # Files of a round are cut at this many rows, so that the next round can split the work evenly.
+    rows_per_file: int = 4_000_000
     # A join key holding more than this share of the rows is spread over `salts` cells.
     hot_share: float = 0.01
     salts: int = 32
     # Below this many rows a hot key cannot matter, so none is looked for.
     hot_min_rows: int = 5_000_000
+
+
+def session_conf() -> dict[str, str]:
+    """Session settings that suit the rule loop; apply them to the SparkSession builder."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Joins whose partitions turn out small need no sort.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+        # The two parts of a round are written side by side instead of sorting the rows first.
+        "spark.sql.maxConcurrentOutputFileWriters": "8",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+    }

@@ -60,13 +60,12 @@ def chain(left: DataFrame, right: DataFrame, hot_s=(), hot_o=(), salts: int = 32
 
 def some_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
                 hot_s=(), hot_o=()) -> DataFrame:
-    """u p x, x type filler, cls some(filler) on p: u type cls.
+    """u p x, x type filler, cls some(filler) on p: u type cls. ``triples`` are those of the properties in use.
 
-    Both sides are first cut to the properties and fillers in use; the restriction is looked up after
-    the join, so a property with many restrictions does not multiply the triples that are shuffled.
+    The types are first cut to the fillers in use. The restriction is looked up after the join, so a
+    property with many restrictions does not multiply the triples that are shuffled.
     """
     if small:
-        triples = of_keys(triples, "p", table.select("k1"), small, settings)
         types = of_keys(types, "o", table.select("k2"), small, settings)
     members = triples.selectExpr("s as u", "p", "o as x")
     fillers = types.selectExpr("s as x", "o as filler")
@@ -78,9 +77,7 @@ def some_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: b
 
 def all_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
                hot_s=()) -> DataFrame:
-    """u type cls, cls all(filler) on p, u p x: x type filler."""
-    if small:
-        triples = of_keys(triples, "p", table.select("k2"), small, settings)
+    """u type cls, cls all(filler) on p, u p x: x type filler. ``triples`` are those of the properties in use."""
     keyed = table.selectExpr("k1 as o", "k2 as p", "ho as filler")
     bound = lookup_join(types.select("s", "o"), keyed, ["o"], small, settings).select("s", "p", "filler")
     met = skew_join(triples.select("s", "p", "o"), bound, ["s", "p"], "s", hot_s, hot_s, settings.salts)

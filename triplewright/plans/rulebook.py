@@ -99,6 +99,7 @@ class Rulebook:
     subclass: DataFrame                 # (src, dst), closed
     subproperty: DataFrame              # (src, dst), closed
     small: dict[str, bool] = field(default_factory=dict)     # rule -> broadcast, for non-empty rules
+    reads: dict[str, list[str]] | None = None                # rule -> predicates it reads; None if too many
     predicates: Keys | None = None       # predicates any rule reads or writes; None if too many
     heads: Keys | None = None            # predicates any rule writes; None if too many
     type_is_property: bool = False       # rdf:type itself is a key of a property, value, ... rule
@@ -107,6 +108,10 @@ class Rulebook:
     def has(self, rule: str) -> bool:
         return rule in self.small
 
+    def read_by(self, rule: str, facts: DataFrame) -> DataFrame:
+        """Facts whose predicate the rule reads, where the predicates are few enough for a scan filter."""
+        return facts if self.reads is None else facts.where(F.col("p").isin(self.reads.get(rule, [])))
+
     def rule(self, rule: str) -> DataFrame:
         return self.table.where(f"rule = '{rule}'").drop("rule")
 
@@ -191,7 +196,8 @@ def _measure(book: Rulebook, settings: Settings) -> None:
         width = " + ".join(f"coalesce(octet_length({c}), 0)" for c in columns)
         return df.groupBy(F.expr(name).alias("name")).agg(
             F.expr("count(*) as n"), F.expr(f"coalesce(sum({width}), 0) as bytes"),
-        ).selectExpr(f"'{what}' as what", "name", "n", "bytes", "false as read", "false as write", "false as moved")
+        ).selectExpr(f"'{what}' as what", "name", "n", "bytes", "false as read", "false as write", "false as moved",
+                     "cast(array() as array<string>) as rules")
 
     body = "case rule when 'all' then k2 when 'class' then null else k1 end"
     head = f"""case when rule in ('property', 'class', 'value') then hp
@@ -199,12 +205,14 @@ def _measure(book: Rulebook, settings: Settings) -> None:
     moved = "coalesce(place in ('keep', 'swap'), false)"
     touched = (
         book.table.selectExpr(
-            f"inline(array(struct({body} as p, true as read, false as write, false as moved),"
-            f" struct({head} as p, false as read, true as write, {moved} as moved)))")
+            f"inline(array(struct({body} as p, rule as reader, true as read, false as write, false as moved),"
+            f" struct({head} as p, null as reader, false as read, true as write, {moved} as moved)))")
         .where("p is not null").groupBy("p")
-        .agg(F.max("read").alias("read"), F.max("write").alias("write"), F.max("moved").alias("moved"))
+        .agg(F.max("read").alias("read"), F.max("write").alias("write"), F.max("moved").alias("moved"),
+             F.collect_set("reader").alias("rules"))
     )
-    names = touched.selectExpr("'predicate' as what", "p as name", "1 as n", "0 as bytes", "read", "write", "moved")
+    names = touched.selectExpr("'predicate' as what", "p as name", "1 as n", "0 as bytes", "read", "write", "moved",
+                               "rules")
     classes = (
         book.table.selectExpr(
             "explode(array(if(rule in ('class', 'all'), k1, null), if(rule = 'some', k2, null),"
@@ -228,6 +236,7 @@ def _measure(book: Rulebook, settings: Settings) -> None:
     if len(named) <= settings.filter_values:
         book.predicates = Keys(sorted({r.name for r in named} | always))
         book.heads = Keys(sorted(r.name for r in named if r.write))
+        book.reads = {rule: sorted(r.name for r in named if rule in r.rules) for rule in book.small}
     elif all(fits(r) for r in report if r.what == "predicates"):
         extra = book.table.sparkSession.createDataFrame([(p,) for p in sorted(always)], "p string")
         book.predicates = Keys(None, touched.select("p").union(extra).distinct())

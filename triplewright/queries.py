@@ -178,8 +178,9 @@ def some_values(spark, folder):
     below = rb.class_types(closed.toDF("cls", "sup"))
     types = rules.by_class(lift(spark, folder, ("part_type",)), below, _small(below), SETTINGS)
     table = rb.some_rows(ax.restrictions(schema))
-    found = rules.some_values(lift(spark, folder, ("contains",)), types, table, _small(table), SETTINGS)
-    return _spo(found)
+    small = _small(table)
+    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k1"), small, SETTINGS)
+    return _spo(rules.some_values(facts, types, table, small, SETTINGS))
 
 
 def all_values(spark, folder):
@@ -190,7 +191,9 @@ def all_values(spark, folder):
     above = rb.class_types(ax.axiom(schema, v.SUBCLASS_OF).toDF("cls", "sup"))
     rushed = rules.by_class(orders, above, _small(above), SETTINGS)
     table = rb.all_rows(restriction.where("kind = 'all'"))
-    return _spo(rules.all_values(lift(spark, folder, ("contains",)), rushed, table, _small(table), SETTINGS))
+    small = _small(table)
+    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k2"), small, SETTINGS)
+    return _spo(rules.all_values(facts, rushed, table, small, SETTINGS))
 
 
 def domain_types(spark, folder):

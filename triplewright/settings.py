@@ -12,9 +12,10 @@ class Settings:
     broadcast_bytes: int = 64 * 1024 * 1024
     # At most this many predicate names are put into a scan filter; more go into a broadcast semi join.
     filter_values: int = 200
-    # Up to this many newest facts, the candidates of a round are written before they are compared with the
-    # known facts: a few candidates can then be sent to the known facts instead of shuffling those.
-    small_round_rows: int = 1_000_000
+    # While the newest facts are at most this share of more than `many_facts` known ones, the candidates of a
+    # round are written first: a few of them can then be sent to the known facts instead of shuffling those.
+    small_round_share: float = 0.25
+    many_facts: int = 1_000_000
     # Files of a round are cut at this many rows, so that the next round can split the work evenly.
     rows_per_file: int = 4_000_000
     # A join key holding more than this share of the rows is spread over `salts` cells.

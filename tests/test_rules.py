@@ -107,6 +107,7 @@ def test_random_graphs_about_types(spark):
 
 
 def test_second_run_adds_nothing(spark):
-    first = materialize(spark.createDataFrame(RANDOM, "s string, p string, o string"), SEMI)
+    few = [t for i in range(40, 44) for t in graphs.random_graph(i, f"g{i}")]
+    first = materialize(spark.createDataFrame(few, "s string, p string, o string"))
     again = materialize(first.asserted.union(first.derived.select("s", "p", "o")))
     assert sum(again.rounds) == 0

@@ -13,16 +13,19 @@ def hot_values(df: DataFrame, column: str, settings: Settings, rows: int | None
 
     The frequent-items sketch keeps a bounded map per partition and misses no value above the share,
     so the candidates are few; their exact counts then remove the false ones. Neither step shuffles
-    the rows, and at most 1 / hot_share values reach the driver.
+    the rows, and at most 1 / hot_share + 1 rows reach the driver. ``rows`` is the row count, if known.
     """
-    rows = df.count() if rows is None else rows
-    if rows < settings.hot_min_rows or rows == 0:
+    if rows is not None and rows < settings.hot_min_rows:
         return []
     candidates = df.select(column).freqItems([column], settings.hot_share).first()[0]
     if not candidates:
         return []
-    counted = df.where(F.col(column).isin(list(candidates))).groupBy(column).count()
-    return [r[0] for r in counted.where(F.col("count") > rows * settings.hot_share).collect()]
+    named = F.when(F.col(column).isin(list(candidates)), F.col(column)).alias("value")
+    counts = df.select(named).groupBy("value").agg(F.count("*").alias("n")).collect()
+    total = sum(r.n for r in counts)
+    if total < settings.hot_min_rows:
+        return []
+    return sorted(r.value for r in counts if r.value is not None and r.n > total * settings.hot_share)
 
 
 def _in(column: str, values: list[str]) -> Column:

@@ -42,8 +42,8 @@ class Workspace:
         self._names += 1
         return f"{name}-{self._names}"
 
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        writer = df.write.mode("errorifexists")
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None, rows_per_file: int = 0) -> DataFrame:
+        writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.root}/{name}")

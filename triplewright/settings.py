@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+
+from pyspark.sql import SparkSession
+
+PREFIX = "spark.triplewright."
 
 
 @dataclass(frozen=True)
@@ -24,6 +28,12 @@ class Settings:
     # Below this many rows a hot key cannot matter, so none is looked for.
     hot_min_rows: int = 5_000_000
 
+    @classmethod
+    def of(cls, spark: SparkSession) -> "Settings":
+        """The defaults, with those replaced that the session sets as spark.triplewright.<name>."""
+        given = {f.name: spark.conf.get(PREFIX + f.name, None) for f in fields(cls)}
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in given.items() if v is not None})
+
 
 def session_conf() -> dict[str, str]:
     """Session settings that suit the rule loop; apply them to the SparkSession builder."""

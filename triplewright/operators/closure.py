@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 
 from ..plans.workspace import Workspace
 from ..settings import Settings
-from .joins import hot_values, skew_join
+from .joins import hot_values, measured_small, skew_join
 from .sets import union_all, unseen
 
 
 def compose(left: DataFrame, right: DataFrame, by: list[str], hot_mid_left=(), hot_mid_right=(),
-            salts: int = 32) -> DataFrame:
+            salts: int = 32, small: str | None = None) -> DataFrame:
     """(by, src, mid) x (by, mid, dst) -> (by, src, dst) with src != dst. Both inputs have src, dst."""
     first = left.selectExpr(*by, "src", "dst as mid")
     second = right.selectExpr(*by, "src as mid", "dst")
-    joined = skew_join(first, second, [*by, "mid"], "mid", hot_mid_left, hot_mid_right, salts)
+    joined = skew_join(first, second, [*by, "mid"], "mid", hot_mid_left, hot_mid_right, salts, small)
     return joined.where("src <> dst").select(*by, "src", "dst")
 
 
@@ -38,8 +38,10 @@ def transitive_closure(ws: Workspace, edges: DataFrame, by: list[str] | None = N
         hot_src |= set(hot_values(newest, "src", settings, rows))
         hot_dst |= set(hot_values(newest, "dst", settings, rows))
         spread = dict(hot_mid_left=sorted(hot_dst), hot_mid_right=sorted(hot_src), salts=settings.salts)
-        steps = [compose(newest, pairs.read(), by, **spread)]
+        small = measured_small(newest, rows, settings)
+        steps = [compose(newest, pairs.read(), by, **spread, small="left" if small else None)]
         if pairs.last > 0:
-            steps.append(compose(pairs.read(0, pairs.last - 1), newest, by, **spread))
+            older = pairs.read(0, pairs.last - 1)
+            steps.append(compose(older, newest, by, **spread, small="right" if small else None))
         pairs.append(unseen(union_all(steps), pairs.read()))
     return pairs.read()

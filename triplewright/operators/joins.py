@@ -33,13 +33,21 @@ def _in(column: str, values: list[str]) -> Column:
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str,
-              hot_left: list[str] = (), hot_right: list[str] = (), salts: int = 32) -> DataFrame:
+              hot_left: list[str] = (), hot_right: list[str] = (), salts: int = 32,
+              small: str | None = None) -> DataFrame:
     """Inner join on ``on`` with the rows of hot keys spread over a grid of cells.
 
+    ``small`` names the side ("left" or "right") that the caller has measured to fit a broadcast; the other
+    side is then not shuffled at all.
+
     A row whose ``hot_on`` value is hot on its own side goes to one of ``salts`` cells by a hash of
     the row; a row whose value is hot on the other side is copied to each of that side's cells. All
     other rows keep a single cell, and without hot values this is the plain join.
     """
+    if small == "left":
+        return F.broadcast(left).join(right, on=on)
+    if small == "right":
+        return left.join(F.broadcast(right), on=on)
     if not hot_left and not hot_right:
         return left.join(right, on=on)
 
@@ -57,14 +65,26 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str,
     return spread_left.join(spread_right, on=[*on, "_i", "_j"]).drop("_i", "_j")
 
 
+def measured_small(df: DataFrame, rows: int, settings: Settings, factor: int = 1) -> bool:
+    """Whether ``factor`` copies of ``df``, of ``rows`` rows, fit both broadcast limits.
+
+    Its bytes are only summed when the rows fit already.
+    """
+    if rows * factor > settings.broadcast_rows:
+        return False
+    width = " + ".join(f"octet_length({c})" for c in df.columns)
+    return (df.selectExpr(f"coalesce(sum({width}), 0)").first()[0]) * factor <= settings.broadcast_bytes
+
+
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], small: bool,
-                settings: Settings) -> DataFrame:
+                settings: Settings, rows: int | None = None) -> DataFrame:
     """Join facts with a rule table: broadcast when it was measured small, else a shuffle join.
 
     The facts' first key column may be hot (one property or class with most rows); the rule rows of
     such a key are few compared with the facts and are copied to the cells the facts are spread over.
+    ``rows`` bounds the number of facts, if known.
     """
     if small:
         return facts.join(F.broadcast(table), on=on)
-    hot = hot_values(facts, on[0], settings)
+    hot = hot_values(facts, on[0], settings, rows)
     return skew_join(facts, table, on, on[0], hot_left=hot, salts=settings.salts)

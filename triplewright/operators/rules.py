@@ -1,5 +1,6 @@
 """The entailment rules as joins of facts (s, p, o) with rule rows (see plans.rulebook).
 
+``small`` says whether the rule rows were measured to fit a broadcast, ``side`` which of two fact inputs was.
 Each function returns candidate facts (s, p, o), possibly with rows that are known already or repeated;
 the caller removes those once for all rules.
 """
@@ -18,28 +19,31 @@ from .sets import union_all
 TYPE = f"'{v.TYPE}'"
 
 
-def by_property(facts: DataFrame, table: DataFrame, small: bool, settings: Settings) -> DataFrame:
+def by_property(facts: DataFrame, table: DataFrame, small: bool, settings: Settings,
+                rows: int | None = None) -> DataFrame:
     """Subproperty, inverse, symmetric, domain and range rules: one lookup on the predicate.
 
     Also returns ``place`` and ``closed`` of the rule row.
     """
     keyed = table.selectExpr("k1 as p", "place", "hp", "ho", "closed")
-    return lookup_join(facts.select("s", "p", "o"), keyed, ["p"], small, settings).selectExpr(
+    return lookup_join(facts.select("s", "p", "o"), keyed, ["p"], small, settings, rows).selectExpr(
         "if(place in ('keep', 'subject'), s, o) as s", "hp as p",
         "case place when 'keep' then o when 'swap' then s else ho end as o", "place", "closed")
 
 
-def by_class(types: DataFrame, table: DataFrame, small: bool, settings: Settings) -> DataFrame:
+def by_class(types: DataFrame, table: DataFrame, small: bool, settings: Settings,
+             rows: int | None = None) -> DataFrame:
     """Subclass and hasValue (type to triple) rules: one lookup on the class. Also returns ``closed``."""
     keyed = table.selectExpr("k1 as o", "hp", "ho", "closed")
-    return lookup_join(types.select("s", "o"), keyed, ["o"], small, settings).selectExpr(
+    return lookup_join(types.select("s", "o"), keyed, ["o"], small, settings, rows).selectExpr(
         "s", "hp as p", "ho as o", "closed")
 
 
-def by_value(facts: DataFrame, table: DataFrame, small: bool, settings: Settings) -> DataFrame:
+def by_value(facts: DataFrame, table: DataFrame, small: bool, settings: Settings,
+             rows: int | None = None) -> DataFrame:
     """The hasValue (triple to type) rule: one lookup on predicate and object. Also returns ``closed``."""
     keyed = table.selectExpr("k1 as p", "k2 as o", "hp", "ho", "closed")
-    return lookup_join(facts.select("s", "p", "o"), keyed, ["p", "o"], small, settings).selectExpr(
+    return lookup_join(facts.select("s", "p", "o"), keyed, ["p", "o"], small, settings, rows).selectExpr(
         "s", "hp as p", "ho as o", "closed")
 
 
@@ -51,15 +55,16 @@ def of_keys(facts: DataFrame, column: str, keys: DataFrame, small: bool, setting
     return lookup_join(facts, keys.distinct(), [column], small, settings).select("s", "p", "o")
 
 
-def chain(left: DataFrame, right: DataFrame, hot_s=(), hot_o=(), salts: int = 32) -> DataFrame:
+def chain(left: DataFrame, right: DataFrame, hot_s=(), hot_o=(), salts: int = 32,
+          side: str | None = None) -> DataFrame:
     """Transitive step: x p y from ``left`` and y p z from ``right`` give x p z, x != z."""
     left, right = (df.selectExpr("s as src", "p", "o as dst") for df in (left, right))
-    step = compose(left, right, ["p"], hot_o, hot_s, salts)
+    step = compose(left, right, ["p"], hot_o, hot_s, salts, side)
     return step.selectExpr("src as s", "p", "dst as o")
 
 
 def some_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
-                hot_s=(), hot_o=()) -> DataFrame:
+                hot_s=(), hot_o=(), side: str | None = None) -> DataFrame:
     """u p x, x type filler, cls some(filler) on p: u type cls. ``triples`` are those of the properties in use.
 
     The types are first cut to the fillers in use. The restriction is looked up after the join, so a
@@ -69,25 +74,28 @@ def some_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: b
         types = of_keys(types, "o", table.select("k2"), small, settings)
     members = triples.selectExpr("s as u", "p", "o as x")
     fillers = types.selectExpr("s as x", "o as filler")
-    met = skew_join(members, fillers, ["x"], "x", hot_o, hot_s, settings.salts)
+    met = skew_join(members, fillers, ["x"], "x", hot_o, hot_s, settings.salts, side)
     keyed = table.selectExpr("k1 as p", "k2 as filler", "ho as cls")
     return lookup_join(met, keyed, ["p", "filler"], small, settings).selectExpr(
         "u as s", f"{TYPE} as p", "cls as o")
 
 
 def all_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
-               hot_s=()) -> DataFrame:
+               hot_s=(), side: str | None = None) -> DataFrame:
     """u type cls, cls all(filler) on p, u p x: x type filler. ``triples`` are those of the properties in use."""
     keyed = table.selectExpr("k1 as o", "k2 as p", "ho as filler")
     bound = lookup_join(types.select("s", "o"), keyed, ["o"], small, settings).select("s", "p", "filler")
-    met = skew_join(triples.select("s", "p", "o"), bound, ["s", "p"], "s", hot_s, hot_s, settings.salts)
+    met = skew_join(triples.select("s", "p", "o"), bound, ["s", "p"], "s", hot_s, hot_s, settings.salts, side)
     return met.selectExpr("o as s", f"{TYPE} as p", "filler as o")
 
 
 def two_sided(rule, newest: tuple[DataFrame, DataFrame], known: tuple[DataFrame, DataFrame],
-              older: tuple[DataFrame, DataFrame] | None) -> DataFrame:
-    """Semi-naive form of a rule with two body atoms: new left with all right, older left with new right."""
-    steps = [rule(newest[0], known[1])]
+              older: tuple[DataFrame, DataFrame] | None, small: tuple[bool, bool] = (False, False)) -> DataFrame:
+    """Semi-naive form of a rule with two body atoms: new left with all right, older left with new right.
+
+    ``small`` says of the new left and new right whether they may be broadcast; ``rule`` gets the side.
+    """
+    steps = [rule(newest[0], known[1], "left" if small[0] else None)]
     if older is not None:
-        steps.append(rule(older[0], newest[1]))
+        steps.append(rule(older[0], newest[1], "right" if small[1] else None))
     return union_all(steps)

@@ -98,6 +98,7 @@ class Rulebook:
     table: DataFrame                    # rule rows
     subclass: DataFrame                 # (src, dst), closed
     subproperty: DataFrame              # (src, dst), closed
+    counts: dict[str, int] = field(default_factory=dict)     # rule -> rows, for non-empty rules
     small: dict[str, bool] = field(default_factory=dict)     # rule -> broadcast, for non-empty rules
     reads: dict[str, list[str]] | None = None                # rule -> predicates it reads; None if too many
     predicates: Keys | None = None       # predicates any rule reads or writes; None if too many
@@ -183,11 +184,11 @@ def compile_rules(ws: Workspace, axioms: DataFrame, settings: Settings = Setting
         .groupBy("rule", "k1", "k2", "place", "hp", "ho").agg(F.max("closed").alias("closed"))
     )
     book = Rulebook(ws.save(table, ws.unique("rules"), partition_by="rule"), subclass, subproperty)
-    _measure(book, settings)
+    _measure(ws, book, settings)
     return book
 
 
-def _measure(book: Rulebook, settings: Settings) -> None:
+def _measure(ws: Workspace, book: Rulebook, settings: Settings) -> None:
     """Sizes of the rule tables, and which predicates and classes they touch, in one job.
 
     At most ``filter_values`` + 1 predicate names and one row per rule reach the driver.
@@ -230,6 +231,7 @@ def _measure(book: Rulebook, settings: Settings) -> None:
     def fits(r):
         return r.n <= settings.broadcast_rows and r.bytes <= settings.broadcast_bytes
 
+    book.counts = {r.name: r.n for r in report if r.what == "rule"}
     book.small = {r.name: fits(r) for r in report if r.what == "rule"}
     named = [r for r in report if r.what == "predicate"]
     always = {v.SAME_AS, v.TYPE} if any(book.has(rule) for rule in ("class", "some", "all")) else {v.SAME_AS}
@@ -238,9 +240,10 @@ def _measure(book: Rulebook, settings: Settings) -> None:
         book.heads = Keys(sorted(r.name for r in named if r.write))
         book.reads = {rule: sorted(r.name for r in named if rule in r.rules) for rule in book.small}
     elif all(fits(r) for r in report if r.what == "predicates"):
+        kept = ws.save(touched.select("p", "write"), ws.unique("predicates"))
         extra = book.table.sparkSession.createDataFrame([(p,) for p in sorted(always)], "p string")
-        book.predicates = Keys(None, touched.select("p").union(extra).distinct())
-        book.heads = Keys(None, touched.where("write").select("p"))
+        book.predicates = Keys(None, kept.select("p").union(extra))
+        book.heads = Keys(None, kept.where("write").select("p"))
     book.type_is_property = any(r.name == v.TYPE and r.read for r in named)
     # A rule that moves any object under rdf:type can write any class, so no class can be left out.
     any_class = book.type_is_property or any(r.name == v.TYPE and r.moved for r in named)

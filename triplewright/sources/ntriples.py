@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -13,23 +13,17 @@ def _content(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("value").rlike(r"^\s*(?:#|$)"))
 
 
-def _object(lexical_only: bool) -> Column:
-    found = F.regexp_extract("value", terms.LINE_PATTERN, 1)
-    return terms.lexical(found) if lexical_only else found
-
-
 def parse_lines(lines: DataFrame, lexical_only: bool = False) -> DataFrame:
     """Triples of the lines (value) that hold one; blank lines, comments and rejects are left out.
 
     With ``lexical_only`` a literal is only its quoted part, so "5", "5"@en and "5"^^<t> are one term.
     """
-    return (
-        _content(lines).select("value", _object(lexical_only).alias("o")).where("o <> ''")
-        .select(
-            F.regexp_extract("value", terms.SUBJECT_PATTERN, 1).alias("s"),
-            F.regexp_extract("value", terms.PREDICATE_PATTERN, 1).alias("p"),
-            "o",
-        )
+    # Exploding the at most one match runs the long pattern once per line; a filter on it would run it twice.
+    found = F.explode(F.regexp_extract_all("value", F.lit(terms.LINE_PATTERN), F.lit(1)))
+    return lines.select("value", found.alias("o")).select(
+        F.regexp_extract("value", terms.SUBJECT_PATTERN, 1).alias("s"),
+        F.regexp_extract("value", terms.PREDICATE_PATTERN, 1).alias("p"),
+        (terms.lexical(F.col("o")) if lexical_only else F.col("o")).alias("o"),
     )
 
 
@@ -40,7 +34,7 @@ def reject_lines(lines: DataFrame) -> DataFrame:
         .when(F.regexp_extract("value", terms.PREDICATE_PATTERN, 1) == "", "no predicate")
         .otherwise("no object or bad end of line")
     )
-    return _content(lines).where(_object(False) == "").select("value", reason.alias("reason"))
+    return _content(lines).where(~F.col("value").rlike(terms.LINE_PATTERN)).select("value", reason.alias("reason"))
 
 
 def read_triples(spark: SparkSession, path: str, lexical_only: bool = False) -> tuple[DataFrame, DataFrame]:

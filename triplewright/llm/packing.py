@@ -12,6 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -23,8 +24,10 @@ from .words import texts
 
 CAPACITY = 2048
 #: Words, and parts of words, whose ids a worker remembers; past that it forgets them all.
-REMEMBERED_WORDS = 500_000
-REMEMBERED_PARTS = 1_000_000
+REMEMBERED_WORDS = 400_000
+REMEMBERED_PARTS = 800_000
+#: Documents that are split into words at the same time.
+AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, last_rank long, per_bin long, first_bin long, base long"
 
@@ -45,11 +48,26 @@ class _WordIds:
 
     def __init__(self, path: str):
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, strings: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(strings), 10_000):
-            for e in self.tokenizer.encode_batch(strings[at:at + 10_000], add_special_tokens=False):
-                yield b"".join([i.to_bytes(4, "little") for i in e.ids])
+        """Ids of each string, from one call on all: the last token of a part carries the end mark.
+
+        A string of several parts has several marks, so ``strings`` are single parts, or come one by one.
+        """
+        if not strings:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(strings), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        assert len(ends) == len(strings)
+        raw = ids.tobytes()
+        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            yield raw[4 * first:4 * last]
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.parts) > REMEMBERED_PARTS:
@@ -61,10 +79,13 @@ class _WordIds:
         self.parts.update(zip(missing, self._encode(missing)))
         known = self.parts
         self.words.update((w, b"".join([known[x] for x in parts])) for w, parts, p in zip(new, cut, plain) if p)
-        whole = [w for w, p in zip(decoded, plain) if not p]
-        self.words.update(zip((w.encode() for w in whole), self._encode(whole)))
+        self.words.update((w, self._whole(d)) for w, d, p in zip(new, decoded, plain) if not p)
 
     def of(self, documents: list[bytes | None]) -> Iterator[bytes]:
+        for at in range(0, len(documents), AT_ONCE):
+            yield from self._of(documents[at:at + AT_ONCE])
+
+    def _of(self, documents: list[bytes | None]) -> Iterator[bytes]:
         split = [(d or b"").split() for d in documents]
         words = self.words
         new = list({w for found in split for w in found if w not in words})

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import packing
+from . import mixing, packing, topk, url_trust
 from .shipping import ship_package
 
 
@@ -22,5 +22,41 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, Workspace(spark))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing,)}
-ORACLES: dict[str, str] = {}
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best other vectors of every 50th one by integer inner product."""
+    ws = Workspace(spark)
+    vectors = ws.save(topk.quantised(_table(spark, folder, "embeddings")), "vectors")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op6_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    ws = Workspace(spark)
+    docs = _table(spark, folder, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    docs = ws.save(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return mixing.mix(docs, ws)[0].drop("row")
+
+
+def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_trust.judge(_table(spark, folder, "pages").select("page_id", "url", "html"), Workspace(spark))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_exact_top_k, op6_source_mixing, op7_url_trust)}
+ORACLES = {
+    "op5_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+        r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
+                   AS rank, vec_id, score
+            FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}

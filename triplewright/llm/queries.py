@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import mixing, packing, topk, url_trust
+from . import langid, mixing, packing, quality, topk, url_trust
 from .shipping import ship_package
 
 
@@ -22,6 +22,12 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, Workspace(spark))
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics of every document and whether the base rules and the learned list keep it."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    return quality.apply_quality(docs, labels, Workspace(spark))[0]
+
+
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     """The five best other vectors of every 50th one by integer inner product."""
     ws = Workspace(spark)
@@ -42,7 +48,14 @@ def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
     return url_trust.judge(_table(spark, folder, "pages").select("page_id", "url", "html"), Workspace(spark))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_exact_top_k, op6_source_mixing, op7_url_trust)}
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, folder, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op9_language_id)}
 ORACLES = {
     "op5_exact_top_k": """
         WITH v AS (

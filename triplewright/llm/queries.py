@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import langid, mixing, packing, quality, topk, url_trust
+from . import langid, mixing, packing, quality, substring, topk, url_trust
 from .shipping import ship_package
 
 
@@ -48,6 +48,11 @@ def op7_url_trust(spark: SparkSession, folder: str) -> DataFrame:
     return url_trust.judge(_table(spark, folder, "pages").select("page_id", "url", "html"), Workspace(spark))
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without passages that a smaller one has."""
+    return substring.dedup_substrings(_table(spark, folder, "documents"), Workspace(spark))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document."""
     docs = _table(spark, folder, "documents")
@@ -55,7 +60,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op9_language_id)}
+    op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
+    op9_language_id)}
 ORACLES = {
     "op5_exact_top_k": """
         WITH v AS (

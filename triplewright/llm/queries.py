@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import langid, mixing, packing, quality, substring, topk, url_trust
+from . import langid, mixing, ngram_join, packing, quality, substring, topk, url_trust
 from .shipping import ship_package
 
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every document under five-word Jaccard links."""
+    return ngram_join.jaccard_components(_table(spark, folder, "documents"), Workspace(spark))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pieces of at most 2048 tokens, with their places in shared sequences."""
     pieces = packing.tokenized_pieces(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,7 +65,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
+    op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
     op9_language_id)}
 ORACLES = {
     "op5_exact_top_k": """

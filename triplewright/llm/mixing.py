@@ -97,7 +97,7 @@ def _slot_ranks(slots: DataFrame, ws: Workspace) -> DataFrame:
     bases = cells.select("source_no", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     local = Window.partitionBy("source_no", "stretch").orderBy("slot")
     return (
-        slots.withColumn("at", F.row_number().over(local) - 1).join(bases, ["source_no", "stretch"])
+        slots.withColumn("at", F.row_number().over(local) - 1).join(bases.hint("merge"), ["source_no", "stretch"])
         .select("source_no", "slot", (F.col("ahead") + F.col("at")).alias("rank"))
     )
 
@@ -134,7 +134,8 @@ def mix(docs: DataFrame, ws: Workspace, block_words: int = BLOCK_WORDS) -> tuple
     count = docs.count()
     targets = ws.save(source_targets(docs.select("source", "size"), ws), ws.unique("targets"))
     words = (targets.agg(F.sum("source_size")).first()[0] or 0) * HALVES / 2
-    ranked = _slot_ranks(schedule(targets, ws, words, block_words), ws)
+    # Written, as Spark takes generated rows for as few as their sources and would broadcast them.
+    ranked = _slot_ranks(ws.save(schedule(targets, ws, words, block_words), ws.unique("slots")), ws)
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     takes = (
         ranked.join(targets.select("source_no", blocks.alias("blocks")), "source_no")
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, ws: Workspace, block_words: int = BLOCK_WORDS) -> tuple
     pieces = streams.where("size > 0").select(
         "row", "source_no", "begin", end.alias("end"),
         F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((end - 1) / width))).alias("block"))
-    taken = pieces.join(takes, ["source_no", "block"]).select(
+    taken = pieces.join(takes.hint("merge"), ["source_no", "block"]).select(
         "row", "takes", (F.greatest("begin", F.col("block") * width) - F.col("begin")).alias("lo"),
         (F.least("end", (F.col("block") + 1) * width) - F.col("begin")).alias("hi"))
     # A later pass stops somewhere in the stream, so the blocks it takes of a document lie side by side.

@@ -1,10 +1,76 @@
-"""A pipeline from raw documents to packed training sequences."""
+"""A pipeline from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. The stages hand on
+the columns of ``documents``; the last one returns the pieces of the documents with their places in sequences.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from triplewright.llm import mixing, ngram_join, packing, quality, substring
+from triplewright.llm.shipping import ship_package
+from triplewright.plans.workspace import Workspace
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned list reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged, _ = quality.apply_quality(docs, labels, Workspace(spark), keep=tuple(docs.columns))
+    return judged.where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies, once if its row is repeated.
+
+    Documents without words are no copies of each other, and rows without an id all stay.
+    """
+    ship_package(spark)
+    components = ngram_join.jaccard_components(docs, Workspace(spark))
+    first = components.where("doc_id = component_id").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    stay = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has; none is dropped."""
+    ship_package(spark)
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = substring.dedup_substrings(docs, Workspace(spark), carry=carried)
+    return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(
+        docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: a row for each document and pass over its source, with the words taken."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs, Workspace(spark))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens and their places in sequences."""
+    ship_package(spark)
+    pieces = packing.tokenized_pieces(docs, public_tokenizers.path(VOCABULARY))
+    return packing.pack(pieces, Workspace(spark))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates),
+          ("substring_dedup", substring_dedup), ("source_mixing", source_mixing),
+          ("best_fit_packing", best_fit_packing)]
+
+#: SQL cannot express the learned list, the schedule or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    ws = Workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, sf_dir), ws.unique(name))
+    return STAGES[-1][1](spark, docs, sf_dir)

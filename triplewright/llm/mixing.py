@@ -9,11 +9,15 @@ into blocks of equal size. The r-th slot of a source takes the r-th block, and s
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
 from .running import running_total
+from .words import texts
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
@@ -159,3 +163,44 @@ def mix(docs: DataFrame, ws: Workspace, block_words: int = BLOCK_WORDS) -> tuple
     named = streams.join(targets.select("source_no", "source_size", "target"), "source_no").join(sums, "row", "left")
     return named.select("row", "doc_id", "size", "source_size", "target",
                         F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), parts
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_slice(body: bytes, lo: int, hi: int) -> bytes:
+    """The text from its word ``lo`` to the one before ``hi``, with the white space between them."""
+    first = last = 0
+    for number, word in enumerate(_WORD.finditer(body)):
+        if number == lo:
+            first = word.start()
+        if number == hi - 1:
+            last = word.end()
+            break
+    return body[first:last]
+
+
+def mixed_documents(docs: DataFrame, ws: Workspace, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents of the mix: rows of ``docs`` (with doc_id, text and source) with the taken text.
+
+    A document has a row for each pass that takes words of it, with all its columns and the taken words as
+    text; a whole document keeps its text as it is. ``n_chars``, if there is one, follows the text.
+    """
+    sized = ws.save(docs.withColumn("_size", word_count("text")).withColumn("_row", F.monotonically_increasing_id()),
+                    ws.unique("rows"))
+    parts = mix(sized.select(F.col("_row").alias("row"), "doc_id", "source", F.col("_size").alias("size")), ws,
+                block_words)[1]
+    taken = sized.join(parts.select(F.col("row").alias("_row"), "lo", "hi"), "_row")
+    names, at = docs.columns, docs.columns.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            lo, hi, size = (batch.column(c).to_pylist() for c in ("lo", "hi", "_size"))
+            bodies = [body if (a, b) == (0, n) else word_slice(body, a, b)
+                      for body, a, b, n in zip(texts(batch.column("text")), lo, hi, size)]
+            columns = [batch.column(c) for c in names]
+            columns[at] = pa.array(bodies, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = taken.select(*names, "lo", "hi", "_size").mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

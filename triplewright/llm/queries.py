@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import langid, mixing, ngram_join, packing, quality, substring, topk, url_trust
+from . import langid, licenses, mixing, ngram_join, packing, quality, substring, topk, url_trust
 from .shipping import ship_package
 
 
@@ -64,9 +64,15 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The licenses that every document names, joined by commas, and its number of known sentences."""
+    found = licenses.scan_licenses(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_licenses", "n_sentences")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
-    op9_language_id)}
+    op9_language_id, op10_license_scan)}
 ORACLES = {
     "op5_exact_top_k": """
         WITH v AS (

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.workspace import Workspace
 from .words import mixed, texts, window_hashes, word_codes
@@ -164,8 +165,11 @@ def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WINDOW, anchor
 
 
 def dedup_substrings(docs: DataFrame, ws: Workspace, width: int = WINDOW, anchor: int = ANCHOR,
-                     keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row (doc_id, text).
+                     carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row (doc_id, text).
+
+    With ``carry``, also kept_text, which is the text as it was where nothing is removed, and these columns
+    of the input.
 
     Words of any window of ``width`` words whose word sequence also starts in a document of smaller id are
     removed; the others, joined by one space, are kept. Windows are judged on the input. Null and empty texts
@@ -191,14 +195,19 @@ def dedup_substrings(docs: DataFrame, ws: Workspace, width: int = WINDOW, anchor
                 else:
                     kept = words
                 joined = b" ".join(kept)
-                for column, value in zip(out, (len(words), removed, hashlib.sha256(joined).hexdigest(), joined)):
+                text = joined if removed else body
+                for column, value in zip(out, (len(words), removed, hashlib.sha256(joined).hexdigest(), text)):
                     column.append(value)
             arrays = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2])]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if keep_text:
-                arrays, names = [*arrays, pa.array(out[3]).cast(pa.string())], [*names, "kept_text"]
+            if carry is not None:
+                arrays += [pa.array(out[3], pa.binary()).cast(pa.string()), *batch.columns[4:]]
+                names += ["kept_text", *carry]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    named = docs.select(F.col("doc_id").cast("long"), "text")
-    return named.join(found, "doc_id", "left").select("doc_id", "text", "marks", "ranges").mapInArrow(rows, schema)
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string")
+    named = docs.select(F.col("doc_id").cast("long"), "text", *(carry or ()))
+    if carry is not None:
+        schema = T.StructType([*schema, T.StructField("kept_text", T.StringType()), *named.schema[2:]])
+    return named.join(found, "doc_id", "left").select(
+        "doc_id", "text", "marks", "ranges", *(carry or ())).mapInArrow(rows, schema)

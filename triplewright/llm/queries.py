@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
-from . import langid, licenses, mixing, ngram_join, packing, quality, substring, topk, url_trust
+from . import html_extract, langid, licenses, mixing, ngram_join, packing, quality, substring, topk, url_trust
 from .shipping import ship_package
 
 
@@ -21,6 +21,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, folder, "documents"), Workspace(spark))
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = _table(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages, Workspace(spark)))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pieces of at most 2048 tokens, with their places in shared sequences."""
     pieces = packing.tokenized_pieces(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,7 +77,7 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
+    op1_ngram_jaccard_join, op2_html_extraction, op3_best_fit_packing, op4_quality_rules, op5_exact_top_k, op6_source_mixing, op7_url_trust, op8_substring_dedup,
     op9_language_id, op10_license_scan)}
 ORACLES = {
     "op5_exact_top_k": """

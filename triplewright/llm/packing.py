@@ -24,7 +24,7 @@ from .words import texts
 
 CAPACITY = 2048
 #: Words, and parts of words, whose ids a worker remembers; past that it forgets them all.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_PARTS = 800_000
 #: Documents that are split into words at the same time.
 AT_ONCE = 256

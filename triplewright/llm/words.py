@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 
 #: Words whose hash a worker remembers; past that it forgets them all and starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)

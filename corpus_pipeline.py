@@ -20,8 +20,9 @@ VOCABULARY = "word_bpe_49k.json"
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged, _ = quality.apply_quality(docs, labels, Workspace(spark), keep=tuple(docs.columns))
-    return judged.where("kept").select(docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("document"))
+    judged, _ = quality.apply_quality(whole, labels, Workspace(spark), keep=("doc_id", "document"))
+    return judged.where("kept").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id has; none is dropped."""
     ship_package(spark)
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = substring.dedup_substrings(docs, Workspace(spark), carry=carried)
-    return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(
-        docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    whole = docs.select("doc_id", "text", F.struct(*others).alias("document"))
+    left = substring.dedup_substrings(whole, Workspace(spark), carry=("document",))
+    out = left.select("document.*", F.col("kept_text").alias("text"))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from ..plans.workspace import Workspace
 from . import dom
 
-#: Bounds of what the trees learn from: pages whose paragraphs are used, and layouts made of each.
+#: Bounds of what the trees learn from: pages whose paragraphs are used, and pages composed of them.
 SAMPLE_PAGES = 240
-LAYOUTS = 4
+COMPOSED = 1200
 TREES, DEPTH = 20, 5
 
 _MARK = ""  # put before main text in composed pages only
@@ -172,31 +172,39 @@ def _paragraphs(html: str) -> list[str]:
     return [t for t in texts if t]
 
 
-def _examples(batches) -> Iterator[pd.DataFrame]:
-    """Composed pages to (features, label) of their nodes that hold text."""
-    for frame in batches:
-        rows, labels = [], []
-        for key, html in zip(frame["page_id"], frame["html"]):
-            paragraphs = _paragraphs(html)
-            for layout in range(LAYOUTS):
-                page = dom.parse(_Composer(paragraphs, int(key) * LAYOUTS + layout).page())
-                good, every = np.zeros(len(page.tags)), np.zeros(len(page.tags))
-                for node, _, raw in page.runs:
-                    every[node] += len(raw)
-                # Inline parts after a mark belong to the marked block.
-                marked = {b for _, b, raw in page.runs if _MARK in raw}
-                for node, block, raw in page.runs:
-                    good[node] += len(raw) if block in marked else 0
-                for i in range(len(page.tags) - 1, 0, -1):
-                    if page.parents[i] >= 0:
-                        good[page.parents[i]] += good[i]
-                        every[page.parents[i]] += every[i]
-                page.runs = [(n, b, raw.replace(_MARK, "")) for n, b, raw in page.runs]
-                used = every > 0
-                rows.append(dom.features([page])[used])
-                labels.append((good[used] / every[used] > 0.5).astype(float))
-        if rows:
-            yield pd.DataFrame({"values": list(np.concatenate(rows)), "label": np.concatenate(labels)})
+def _examples(layouts: int):
+    """Pages to (features, label) of the nodes with text in ``layouts`` pages composed of each one's paragraphs."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield from _composed(frame, layouts)
+
+    return rows
+
+
+def _composed(frame: pd.DataFrame, layouts: int) -> Iterator[pd.DataFrame]:
+    rows, labels = [], []
+    for key, html in zip(frame["page_id"], frame["html"]):
+        paragraphs = _paragraphs(html)
+        for layout in range(layouts):
+            page = dom.parse(_Composer(paragraphs, int(key) * layouts + layout).page())
+            good, every = np.zeros(len(page.tags)), np.zeros(len(page.tags))
+            for node, _, raw in page.runs:
+                every[node] += len(raw)
+            # Inline parts after a mark belong to the marked block.
+            marked = {b for _, b, raw in page.runs if _MARK in raw}
+            for node, block, raw in page.runs:
+                good[node] += len(raw) if block in marked else 0
+            for i in range(len(page.tags) - 1, 0, -1):
+                if page.parents[i] >= 0:
+                    good[page.parents[i]] += good[i]
+                    every[page.parents[i]] += every[i]
+            page.runs = [(n, b, raw.replace(_MARK, "")) for n, b, raw in page.runs]
+            used = every > 0
+            rows.append(dom.features([page])[used])
+            labels.append((good[used] / every[used] > 0.5).astype(float))
+    if rows:
+        yield pd.DataFrame({"values": list(np.concatenate(rows)), "label": np.concatenate(labels)})
 
 
 def _tree_table(text: str) -> list[list[tuple[int, float, int, int, float]]]:
@@ -225,8 +233,10 @@ def learn(pages: DataFrame, ws: Workspace) -> tuple[list, list[float]]:
     """
     sample = pages.where("html is not null and page_id is not null").select("page_id", "html")
     sample = sample.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES)
-    examples = ws.save(sample.repartition(8, "page_id").mapInPandas(_examples, "values array<double>, label double"),
-                       ws.unique("examples"))
+    sample = ws.save(sample, ws.unique("sample"))
+    layouts = -(-COMPOSED // max(1, sample.count()))
+    examples = ws.save(sample.repartition(8, "page_id").mapInPandas(
+        _examples(layouts), "values array<double>, label double"), ws.unique("examples"))
     kinds = {r.label for r in examples.select("label").distinct().collect()}
     if len(kinds) < 2:
         return [], []

@@ -190,17 +190,18 @@ def mixed_documents(docs: DataFrame, ws: Workspace, block_words: int = BLOCK_WOR
                     ws.unique("rows"))
     parts = mix(sized.select(F.col("_row").alias("row"), "doc_id", "source", F.col("_size").alias("size")), ws,
                 block_words)[1]
-    taken = sized.join(parts.select(F.col("row").alias("_row"), "lo", "hi"), "_row")
+    taken = sized.join(parts.select(F.col("row").alias("_row"), F.col("lo").alias("_lo"),
+                                    F.col("hi").alias("_hi")), "_row")
     names, at = docs.columns, docs.columns.index("text")
 
     def cut(batches):
         for batch in batches:
-            lo, hi, size = (batch.column(c).to_pylist() for c in ("lo", "hi", "_size"))
+            lo, hi, size = (batch.column(c).to_pylist() for c in ("_lo", "_hi", "_size"))
             bodies = [body if (a, b) == (0, n) else word_slice(body, a, b)
                       for body, a, b, n in zip(texts(batch.column("text")), lo, hi, size)]
             columns = [batch.column(c) for c in names]
             columns[at] = pa.array(bodies, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = taken.select(*names, "lo", "hi", "_size").mapInArrow(cut, docs.schema)
+    out = taken.select(*names, "_lo", "_hi", "_size").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

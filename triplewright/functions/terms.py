@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns of the N-Triples grammar. The quantifiers inside literals are possessive, so that
-# the matcher runs as a loop and a literal of any length is safe.
+# the matcher runs as a loop and a literal of any length is safe. A blank node's label may hold full stops,
+# but does not end with one.
 IRI = r"<[^<>\s]*+>"
-BLANK = r"_:[^\s<>\"]++"
+BLANK = r"_:[^\s<>\".]++(?:\.++[^\s<>\".]++)*+"
 QUOTED = r'"(?:[^"\\]|\\.)*+"'
 LITERAL_TAIL = rf"(?:@[A-Za-z]++(?:-[A-Za-z0-9]++)*+|\^\^{IRI})?+"
 

@@ -29,17 +29,22 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
     parser.add_argument("--rejects", help="folder for lines that are not triples")
     options = parser.parse_args(args)
 
-    start = time.time()
+    start, rejected = time.time(), 0
     if options.source == "parquet":
         result = materialize(spark.read.parquet(options.input))
     else:
         triples, rejects = read_triples(spark, options.input, options.lexical_only)
         if options.rejects:
             rejects.write.parquet(options.rejects)
+            rejects = spark.read.parquet(options.rejects)
+        rejected = rejects.count()
         result = materialize(triples, stage=True)
-    write_result(result, options.output, options.format, options.sameas, options.generalized, options.schema)
+    counts = write_result(result, options.output, options.format, options.sameas, options.generalized, options.schema)
     for row in result.metrics().collect():
         print(f"{row.name}: {row.value}")
+    print(f"rejected_lines: {rejected}")
+    for name, (written, left_out) in counts.items():
+        print(f"{name} written: {written}, left out of N-Triples: {left_out}")
     print(f"rounds: {result.rounds}")
     print(f"minutes: {(time.time() - start) / 60:.2f}")
 

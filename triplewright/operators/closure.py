@@ -1,4 +1,4 @@
-"""Transitive closure by rounds of semi-naive path doubling."""
+"""Transitive closure by path doubling."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..plans.workspace import Workspace
 from ..settings import Settings
 from .joins import hot_values, measured_small, skew_join
-from .sets import union_all, unseen
+from .sets import unseen
 
 
 def compose(left: DataFrame, right: DataFrame, by: list[str], hot_mid_left=(), hot_mid_right=(),
@@ -23,25 +23,27 @@ def transitive_closure(ws: Workspace, edges: DataFrame, by: list[str] | None = N
                        settings: Settings = Settings()) -> DataFrame:
     """All pairs (src, dst), src != dst, joined by a path of edges that agree on the ``by`` columns.
 
-    Each round joins the newest pairs with all pairs on either side, so path lengths double and a
-    chain of n edges takes about log2(n) rounds. The loop ends when a round adds nothing.
+    After k rounds ``pairs`` has those at a distance below 2^k and ``far`` those at exactly 2^k. Pairs composed
+    with far ones reach all distances in between, and far ones composed with far ones the next power. Parts of
+    a shortest path are shortest, so nothing is missed, and on a chain every pair is found once. The loop
+    ends when no pair is that far.
     """
     by = list(by or [])
     edges = edges.select(*by, "src", "dst")
     pairs = ws.rounds("closure", edges.schema, settings.rows_per_file)
-    pairs.append(edges.where("src <> dst").distinct())
-    hot_src: set[str] = set()
-    hot_dst: set[str] = set()
-    while pairs.counts[-1]:
-        newest, rows = pairs.read(pairs.last), pairs.counts[-1]
-        # A key hot in all pairs is hot in at least one round, so the sets only grow.
-        hot_src |= set(hot_values(newest, "src", settings, rows))
-        hot_dst |= set(hot_values(newest, "dst", settings, rows))
-        spread = dict(hot_mid_left=sorted(hot_dst), hot_mid_right=sorted(hot_src), salts=settings.salts)
-        small = measured_small(newest, rows, settings)
-        steps = [compose(newest, pairs.read(), by, **spread, small="left" if small else None)]
-        if pairs.last > 0:
-            older = pairs.read(0, pairs.last - 1)
-            steps.append(compose(older, newest, by, **spread, small="right" if small else None))
-        pairs.append(unseen(union_all(steps), pairs.read()))
+    far, rows = edges.where("src <> dst").distinct(), None
+    while rows != 0:
+        older, known = pairs.last, sum(pairs.counts)
+        rows = pairs.append(far)
+        if not rows:
+            break
+        far = pairs.read(pairs.last)
+        small = measured_small(far, rows, settings)
+        src, dst = (hot_values(far, c, settings, rows) for c in ("src", "dst"))
+        if known:
+            near = pairs.read(0, older)
+            hot = hot_values(near, "dst", settings, known)
+            between = compose(near, far, by, hot, src, settings.salts, "right" if small else None)
+            pairs.append(unseen(between, pairs.read()))
+        far = unseen(compose(far, far, by, dst, src, settings.salts, "right" if small else None), pairs.read())
     return pairs.read()

@@ -116,6 +116,15 @@ def _links(parts: str, shared: str, member: str) -> str:
   select {member} as x, min({member}) over (partition by {shared}, p) as y from {_facts(parts)}) where x <> y"""
 
 
+def _terms(tag: str, datatype: str) -> str:
+    return f"""with d as (select '<urn:doc/' || doc_id || '>' as s, doc_id, lang, n_chars from documents)
+select s, '<urn:title>' as p, '"d' || doc_id{tag} as o from d
+union all select s, '<urn:size>', '"' || coalesce(n_chars, 0){datatype} from d
+union all select '_:d' || doc_id, '<urn:names>', s from d
+union all select s, '<urn:node>', '_:d' || doc_id from d
+union all select s, '<urn:node>', '_:d.' || doc_id || '.x' from d"""
+
+
 ORACLES = {
     "parse_roundtrip": f"""{parts_sql(("placed_by", "priority", "content_hash"))}
 union all select '<urn:doc/' || cast(doc_id as varchar) || '>', '<urn:text>', '"' || {_escaped} || '"' from documents""",
@@ -128,7 +137,12 @@ select o as s, '<urn:placed>' as p, s as o from ({PARTS["placed_by"]})
 union select s, '{v.TYPE}', '<urn:Order>' from ({PARTS["placed_by"]})
 union select o, '{v.TYPE}', '<urn:Customer>' from ({PARTS["placed_by"]})
 union (select node, '{v.SAME_AS}', rep from same_classes where node <> rep
-       except select x, '{v.SAME_AS}', y from {SAME_STATED})""",
+       except select x, '{v.SAME_AS}', y from {SAME_STATED})
+union select '<urn:name/' || r_regionkey || '>', '{v.SAME_AS}', '"' || unnest([r_name, lower(r_name)]) || '"' from region""",
+    "parse_terms": _terms(""" || '"@' || coalesce(lang, 'en')""", """ || '"^^<urn:int>'"""),
+    "parse_lexical": _terms(""" || '"'""", """ || '"'"""),
+    "new_schema": _with(CLASSES) + f"""select src as s, '{v.SUBCLASS_OF}' as p, dst as o from sub
+where not exists (select 1 from sub_axioms x where x.p = '{v.SUBCLASS_OF}' and x.s = src and x.o = dst)""",
     "type_rows": f"select s, o as cls from ({parts_sql(PARTS)}) where p = '{v.TYPE}'",
     "sameas_rows": f"select x, y from {SAME_STATED}",
     "axiom_pairs": f"""select distinct s, p, o from ({parts_sql(PARTS)})

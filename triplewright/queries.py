@@ -23,18 +23,25 @@ CLASS_PARTS = ("item_model", "model_line", "line_type", "line_brand", "type_prod
 PROPERTY_PARTS = ("supplied_nation", "supplied_any", "supplied_related", "contains_related", "via_route",
                   "route_lane", "lane_route")
 BRAND_PARTS = ("brand_on", "brand_value", "line_brand")
-SETTINGS = Settings()
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _small(table: DataFrame) -> bool:
-    """Whether a rule table may be broadcast, from its measured size."""
+def _ruled(table: DataFrame) -> tuple[DataFrame, bool]:
+    """A rule table, written once, and whether it may be broadcast, from its measured size."""
+    spark = table.sparkSession
+    settings = Settings.of(spark)
+    table = Workspace(spark).save(table, "rules")
     width = "coalesce(octet_length(k1), 0) + coalesce(octet_length(k2), 0) + coalesce(octet_length(ho), 0)"
     n, nbytes = table.selectExpr("count(*)", f"coalesce(sum({width}), 0)").first()
-    return n <= SETTINGS.broadcast_rows and nbytes <= SETTINGS.broadcast_bytes
+    return table, n <= settings.broadcast_rows and nbytes <= settings.broadcast_bytes
+
+
+def _axioms(spark: SparkSession, folder: str, parts=None) -> DataFrame:
+    """The schema statements, selected in one pass over the parts and written once."""
+    return Workspace(spark).save(ax.select_axioms(lift(spark, folder, parts)), "axioms")
 
 
 def _spo(df: DataFrame) -> DataFrame:
@@ -64,10 +71,48 @@ def parse_rejects(spark, folder):
     return reject_lines(lines)
 
 
+def _term_lines(spark, folder) -> str:
+    """A folder of lines with every kind of term, most of them without a space where none is needed."""
+    doc, number = "concat('<urn:doc/', doc_id, '>')", "cast(doc_id as string)"
+    kinds = (
+        f"""concat({doc}, ' <urn:title> "d', {number}, '"@', coalesce(lang, 'en'), ' .')""",
+        f"""concat({doc}, '\\t<urn:size>\\t"', coalesce(n_chars, 0), '"^^<urn:int>. # size')""",
+        f"concat('_:d', {number}, ' <urn:names> ', {doc}, '.')", f"concat({doc}, '<urn:node>_:d', {number}, '.')",
+        f"concat({doc}, ' <urn:node> _:d.', {number}, '.x .')", f"concat('# ', {doc})", "''",
+    )
+    lines = _table(spark, folder, "documents").selectExpr(f"explode(array({', '.join(kinds)})) as value")
+    path = f"{Workspace(spark).root}/lines"
+    lines.write.text(path)
+    return path
+
+
+def parse_terms(spark, folder):
+    """Language tags, datatypes, blank nodes before a full stop, tabs and comments, read from text."""
+    return read_triples(spark, _term_lines(spark, folder))[0]
+
+
+def parse_lexical(spark, folder):
+    """The same lines with literals cut to their quoted part."""
+    return read_triples(spark, _term_lines(spark, folder), lexical_only=True)[0]
+
+
+def new_schema(spark, folder):
+    """The folder of closed hierarchies of a run, written as text and read back."""
+    result = materialize(lift(spark, folder, CLASS_PARTS))
+    path = f"{result.workspace.root}/output"
+    write_result(result, path, schema=True)
+    return read_triples(spark, f"{path}/new_schema")[0]
+
+
 def roundtrip_results(spark, folder):
-    """The three output folders of a run, written as text and read back."""
-    result = materialize(lift(spark, folder, ("content_hash", "content_inverse", "labelled", "placed_by",
-                                              "placed_inverse", "placed_domain", "placed_range")))
+    """The three output folders of a run, written as text and read back. A class has an IRI and two literals."""
+    named = _table(spark, folder, "region").selectExpr("concat('<urn:region/', r_regionkey, '>') as s",
+        "'<urn:called>' as p", """explode(array(concat('<urn:name/', r_regionkey, '>'), concat('"', r_name, '"'),
+        concat('"', lower(r_name), '"'))) as o""")
+    stated = spark.createDataFrame([("<urn:called>", v.TYPE, v.FUNCTIONAL)], "s string, p string, o string")
+    result = materialize(sets.union_all([
+        lift(spark, folder, ("content_hash", "content_inverse", "labelled", "placed_by", "placed_inverse",
+                             "placed_domain", "placed_range")), named, stated]), stage=True)
     path = f"{result.workspace.root}/output"
     write_result(result, path)
     triples, _ = read_triples(spark, f"{path}/new_*")
@@ -78,7 +123,7 @@ def roundtrip_results(spark, folder):
 
 def axiom_pairs(spark, folder):
     """Every schema statement of the whole graph, with the selector that finds it."""
-    found = ax.select_axioms(lift(spark, folder))
+    found = _axioms(spark, folder)
     frames = [ax.axiom(found, p).select("s", F.lit(p).alias("p"), "o") for p in v.AXIOM_PREDICATES]
     frames += [ax.property_set(found, c).select(F.col("p").alias("s"), F.lit(v.TYPE).alias("p"), F.lit(c).alias("o"))
                for c in v.PROPERTY_CLASSES]
@@ -86,19 +131,19 @@ def axiom_pairs(spark, folder):
 
 
 def inverse_index(spark, folder):
-    return ax.inverse_pairs(lift(spark, folder))
+    return ax.inverse_pairs(_axioms(spark, folder))
 
 
 def restriction_index(spark, folder):
-    return ax.restrictions(lift(spark, folder))
+    return ax.restrictions(_axioms(spark, folder))
 
 
 # Hierarchies
 
 def _hierarchy(spark, folder, parts, sub, equivalent):
-    triples = lift(spark, folder, parts)
+    triples = _axioms(spark, folder, parts)
     edges = ax.hierarchy(triples, sub, equivalent)
-    return triples, transitive_closure(Workspace(spark), edges)
+    return triples, transitive_closure(Workspace(spark), edges, settings=Settings.of(spark))
 
 
 def subclass_closure(spark, folder):
@@ -123,7 +168,7 @@ def equivalent_properties(spark, folder):
 
 def _property_rule(spark, folder, facts, table):
     held = lift(spark, folder, facts)
-    return _spo(rules.by_property(held, table, _small(table), SETTINGS))
+    return _spo(rules.by_property(held, *_ruled(table), Settings.of(spark)))
 
 
 def subproperty_inherit(spark, folder):
@@ -149,51 +194,56 @@ def symmetric(spark, folder):
 
 def transitive_located(spark, folder):
     facts = lift(spark, folder, ("nation_region", "customer_nation", "supplier_nation"))
-    table = rb.property_rows(ax.property_set(lift(spark, folder, ("located_transitive",)), v.TRANSITIVE), "transitive")
-    edges = rules.of_keys(facts, "p", table.select("k1"), _small(table), SETTINGS)
-    closed = transitive_closure(Workspace(spark), edges.selectExpr("p", "s as src", "o as dst"), by=["p"])
+    settings = Settings.of(spark)
+    table, small = _ruled(rb.property_rows(
+        ax.property_set(_axioms(spark, folder, ("located_transitive",)), v.TRANSITIVE), "transitive"))
+    edges = rules.of_keys(facts, "p", table.select("k1"), small, settings)
+    closed = transitive_closure(Workspace(spark), edges.selectExpr("p", "s as src", "o as dst"), ["p"], settings)
     return _new(closed.selectExpr("src as s", "p", "dst as o"), facts)
 
 
 def has_value_triple(spark, folder):
     """Classes that demand a value give it to their members; members by the part's product line."""
-    parts = lift(spark, folder, ("part_type", "item_model", "model_line", *BRAND_PARTS))
-    closed = transitive_closure(Workspace(spark), ax.hierarchy(parts, v.SUBCLASS_OF, v.EQUIVALENT_CLASS))
+    settings = Settings.of(spark)
+    schema = _axioms(spark, folder, ("item_model", "model_line", *BRAND_PARTS))
+    edges = ax.hierarchy(schema, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)
+    closed = transitive_closure(Workspace(spark), edges, settings=settings)
     below = rb.class_types(closed.toDF("cls", "sup"))
-    types = rules.by_class(parts.where(F.col("p") == v.TYPE), below, _small(below), SETTINGS)
-    values = rb.class_values(ax.restrictions(parts).where("kind = 'hasValue'"))
-    return _spo(rules.by_class(types, values, _small(values), SETTINGS))
+    types = rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(below), settings)
+    values = rb.class_values(ax.restrictions(schema).where("kind = 'hasValue'"))
+    return _spo(rules.by_class(types, *_ruled(values), settings))
 
 
 def has_value_type(spark, folder):
-    table = rb.value_types(ax.restrictions(lift(spark, folder, ("priority_on", "priority_value"))))
-    return _spo(rules.by_value(lift(spark, folder, ("priority",)), table, _small(table), SETTINGS))
+    table = rb.value_types(ax.restrictions(_axioms(spark, folder, ("priority_on", "priority_value"))))
+    return _spo(rules.by_value(lift(spark, folder, ("priority",)), *_ruled(table), Settings.of(spark)))
 
 
 # Type rules
 
 def some_values(spark, folder):
-    schema = lift(spark, folder, (*CLASS_PARTS, "type_on", "type_some"))
-    closed = transitive_closure(Workspace(spark), ax.hierarchy(schema, v.SUBCLASS_OF, v.EQUIVALENT_CLASS))
+    settings = Settings.of(spark)
+    schema = _axioms(spark, folder, (*CLASS_PARTS, "type_on", "type_some"))
+    edges = ax.hierarchy(schema, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)
+    closed = transitive_closure(Workspace(spark), edges, settings=settings)
     below = rb.class_types(closed.toDF("cls", "sup"))
-    types = rules.by_class(lift(spark, folder, ("part_type",)), below, _small(below), SETTINGS)
-    table = rb.some_rows(ax.restrictions(schema))
-    small = _small(table)
-    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k1"), small, SETTINGS)
-    return _spo(rules.some_values(facts, types, table, small, SETTINGS))
+    types = rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(below), settings)
+    table, small = _ruled(rb.some_rows(ax.restrictions(schema)))
+    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k1"), small, settings)
+    return _spo(rules.some_values(facts, types, table, small, settings))
 
 
 def all_values(spark, folder):
-    schema = lift(spark, folder, ("priority_on", "priority_value", "rush_on", "rush_all", "orders_rush"))
+    settings = Settings.of(spark)
+    schema = _axioms(spark, folder, ("priority_on", "priority_value", "rush_on", "rush_all", "orders_rush"))
     restriction = ax.restrictions(schema)
     values = rb.value_types(restriction.where("kind = 'hasValue'"))
-    orders = rules.by_value(lift(spark, folder, ("priority",)), values, _small(values), SETTINGS)
+    orders = rules.by_value(lift(spark, folder, ("priority",)), *_ruled(values), settings)
     above = rb.class_types(ax.axiom(schema, v.SUBCLASS_OF).toDF("cls", "sup"))
-    rushed = rules.by_class(orders, above, _small(above), SETTINGS)
-    table = rb.all_rows(restriction.where("kind = 'all'"))
-    small = _small(table)
-    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k2"), small, SETTINGS)
-    return _spo(rules.all_values(facts, rushed, table, small, SETTINGS))
+    rushed = rules.by_class(orders, *_ruled(above), settings)
+    table, small = _ruled(rb.all_rows(restriction.where("kind = 'all'")))
+    facts = rules.of_keys(lift(spark, folder, ("contains",)), "p", table.select("k2"), small, settings)
+    return _spo(rules.all_values(facts, rushed, table, small, settings))
 
 
 def domain_types(spark, folder):
@@ -209,23 +259,34 @@ def range_types(spark, folder):
 def subclass_types(spark, folder):
     closed = _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)[1]
     table = rb.class_types(closed.toDF("cls", "sup"))
-    return _spo(rules.by_class(lift(spark, folder, ("part_type",)), table, _small(table), SETTINGS))
+    return _spo(rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(table), Settings.of(spark)))
 
 
 # sameAs
 
+def _held(spark, folder, facts: DataFrame, axioms: tuple[str, ...], characteristic: str, rule: str) -> DataFrame:
+    """The facts whose property the axioms declare to be of the class ``characteristic``, written once."""
+    keys = ax.property_set(_axioms(spark, folder, axioms), characteristic)
+    table, small = _ruled(rb.property_rows(keys, rule))
+    return Workspace(spark).save(rules.of_keys(facts, "p", table.select("k1"), small, Settings.of(spark)), "held")
+
+
+def _functional(spark, folder, facts):
+    held = _held(spark, folder, facts, ("hash_functional",), v.FUNCTIONAL, "functional")
+    return sameas.functional_links(held, Settings.of(spark), held.count())
+
+
+def _inverse_functional(spark, folder, facts):
+    held = _held(spark, folder, facts, ("content_inverse",), v.INVERSE_FUNCTIONAL, "inverse_functional")
+    return sameas.inverse_functional_links(held, Settings.of(spark), held.count())
+
+
 def functional_sameas(spark, folder):
-    facts = lift(spark, folder, ("hash_of",))
-    keys = ax.property_set(lift(spark, folder, ("hash_functional",)), v.FUNCTIONAL)
-    small = _small(rb.property_rows(keys, "functional"))
-    return sameas.functional_links(rules.of_keys(facts, "p", keys, small, SETTINGS))
+    return _functional(spark, folder, lift(spark, folder, ("hash_of",)))
 
 
 def inverse_functional_sameas(spark, folder):
-    facts = lift(spark, folder, ("content_hash",))
-    keys = ax.property_set(lift(spark, folder, ("content_inverse",)), v.INVERSE_FUNCTIONAL)
-    small = _small(rb.property_rows(keys, "inverse_functional"))
-    return sameas.inverse_functional_links(rules.of_keys(facts, "p", keys, small, SETTINGS))
+    return _inverse_functional(spark, folder, lift(spark, folder, ("content_hash",)))
 
 
 SAME_PARTS = ("content_hash", "content_inverse", "hash_of", "hash_functional", "labelled")
@@ -234,12 +295,8 @@ SAME_PARTS = ("content_hash", "content_inverse", "hash_of", "hash_functional", "
 def _same(spark, folder) -> tuple[DataFrame, DataFrame]:
     facts = lift(spark, folder, SAME_PARTS)
     asserted = ax.sameas_of(facts)
-    links = sets.union_all([
-        asserted,
-        sameas.functional_links(facts.where("p = '<urn:hashOf>'")),
-        sameas.inverse_functional_links(facts.where("p = '<urn:contentHash>'")),
-    ])
-    return sameas.sameas_classes(Workspace(spark), links), asserted
+    links = sets.union_all([asserted, _functional(spark, folder, facts), _inverse_functional(spark, folder, facts)])
+    return sameas.sameas_classes(Workspace(spark), links, Settings.of(spark)), asserted
 
 
 def sameas_closure(spark, folder):
@@ -309,7 +366,7 @@ def sameas_rows(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    parse_roundtrip, parse_rejects, roundtrip_results, type_rows, sameas_rows,
+    parse_roundtrip, parse_rejects, parse_terms, parse_lexical, roundtrip_results, new_schema, type_rows, sameas_rows,
     axiom_pairs, inverse_index, restriction_index,
     subclass_closure, subproperty_closure, equivalent_classes, equivalent_properties,
     subproperty_inherit, inverse_fwd, inverse_bwd, symmetric, transitive_located, has_value_triple,

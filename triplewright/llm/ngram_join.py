@@ -28,7 +28,7 @@ from .words import mixed, shingle_set, texts
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Tokens of the packed blocks of one range of hashes, about; the number of ranges grows with the input.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 1_500_000
 #: Tokens of one group of the matrix, about.
 GROUP_TOKENS = 4096
 #: Hash functions that bring similar sets together.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2048
 DICTIONARY_BYTES = 1 << 17
+SHARES = 64
 LEVEL = 3
 #: Best and second best must differ by this share of the second, or the prediction is not accepted.
 MIN_MARGIN = 0.01
@@ -43,12 +44,14 @@ def learn(docs: DataFrame) -> list[tuple[str, bytes]]:
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
                         & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "part")
-    rows = (
-        usable.select("lang", F.xxhash64("doc_id").alias("mark"), "doc_id",
-                      F.substring("text", 1, SAMPLE_CHARS).alias("part"))
-        .withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).collect()
-    )
+    order = ("mark", "doc_id", "part")
+    rows = usable.select("lang", F.xxhash64("doc_id").alias("mark"), "doc_id",
+                         F.substring("text", 1, SAMPLE_CHARS).alias("part"))
+    # First within shares of a language, so that what many tasks send of one language meets in no single task.
+    for share in ((F.pmod("mark", F.lit(SHARES)),), ()):
+        ranked = Window.partitionBy("lang", *share).orderBy(*order)
+        rows = rows.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= SAMPLE_DOCS)
+    rows = rows.collect()
     found: dict[str, list] = {}
     for r in rows:
         found.setdefault(r.lang, []).append((r.n, _letters(r.part)))

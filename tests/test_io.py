@@ -25,6 +25,10 @@ LINES = [
     ("<a>\t<p>\t<b> .", ("<a>", "<p>", "<b>")),
     ("  <a> <p> <b>", ("<a>", "<p>", "<b>")),
     ("<a><p><b>.", ("<a>", "<p>", "<b>")),
+    ("<a> <p> _:y.", ("<a>", "<p>", "_:y")),
+    ("<a><p>_:y.", ("<a>", "<p>", "_:y")),
+    ("_:a.b <p> _:a.b.", ("_:a.b", "<p>", "_:a.b")),
+    ("_:a..b <p> _:y .# note", ("_:a..b", "<p>", "_:y")),
 ]
 SKIPPED = ["", "   ", "# comment", "  # <a> <p> <b> ."]
 REJECTED = ["hello", "<a> <p>", "<a> <p> plain .", '<a> <p> "open', "<a> <p> <b> <c> .", '"x" <p> <b> .', "<a> _:p <b> ."]
@@ -115,3 +119,20 @@ def test_axioms_are_pushed_to_the_scan(spark, tmp_path):
     plan = select_axioms(spark.read.parquet(f"{tmp_path}/t"))._jdf.queryExecution().toString()
     pushed = plan[plan.index("PushedFilters"):]
     assert v.DOMAIN in pushed[:pushed.index("\n")] or "In(p" in pushed[:pushed.index("\n")]
+
+
+def test_long_blank_node(spark):
+    label = "_:" + "a.b" * 100_000
+    assert parse_lines(frame(spark, [f"<a> <p> {label}."])).first().o == label
+
+
+def test_links_of_literals_and_bad_predicates_at_the_sink(spark, tmp_path):
+    triples = [("<f>", v.TYPE, v.FUNCTIONAL), ("<x>", "<f>", "<a>"), ("<x>", "<f>", '"x"'), ("<x>", "<f>", '"y"'),
+               ("<z>", "<f>", '"u"'), ("<z>", "<f>", '"v"'), ("<p>", v.SUBPROPERTY_OF, "_:b"), ("<x>", "<p>", "<y>"),
+               ("<a>", v.SAME_AS, '"x"')]
+    result = materialize(spark.createDataFrame(triples, "s string, p string, o string"))
+    assert rows(result.new_sameas) == [('"v"', '"u"'), ('"x"', "<a>"), ('"y"', "<a>")]
+    counts = write_result(result, f"{tmp_path}/out")
+    assert rows(read_triples(spark, f"{tmp_path}/out/new_sameas")[0]) == [("<a>", v.SAME_AS, '"y"')]
+    assert rows(read_triples(spark, f"{tmp_path}/out/new_*")[1]) == []
+    assert counts == {"new_instances": (0, 1), "new_types": (0, 0), "new_sameas": (1, 1)}

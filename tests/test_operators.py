@@ -15,7 +15,7 @@ from triplewright.operators.components import connected_components, expand_pairs
 from triplewright.operators.joins import hot_values, skew_join
 from triplewright.operators.sameas import functional_links, pair_counts
 
-HOT = Settings(hot_share=0.1, salts=4, hot_min_rows=0)
+HOT = Settings(hot_share=0.1, salts=4, pairs_per_task=0, cell_rows=100)
 
 
 def edges_of(spark, pairs):
@@ -93,15 +93,16 @@ def test_pairs_and_their_count(spark, settings):
 
 def test_hot_values(spark):
     df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', 'k' || id) as k")
-    assert hot_values(df, "k", HOT) == ["hot"]
-    assert hot_values(df, "k", Settings()) == []
+    assert hot_values(df, "k", HOT) == {"hot": 4}
+    assert hot_values(df.union(df), "k", HOT) == {"hot": 7}  # cells grow with the rows of the key
+    assert hot_values(df, "k", Settings()) == {}
 
 
 def test_skew_join_is_the_join_and_spreads_hot_keys(spark):
     left = spark.range(600).selectExpr("if(id % 3 = 0, 'hot', 'k' || id % 50) as k", "id as a")
     right = spark.range(90).selectExpr("if(id % 3 = 0, 'hot', 'k' || id) as k", "id as b")
     plain = rows(left.join(right, "k"))
-    for hot_left, hot_right in ((["hot"], []), ([], ["hot"]), (["hot"], ["hot"])):
+    for hot_left, hot_right in ((["hot"], []), ([], {"hot": 3}), ({"hot": 2}, ["hot"])):
         assert rows(skew_join(left, right, ["k"], "k", hot_left, hot_right, 5)) == plain
     spread = skew_join(left.hint("shuffle_merge"), right, ["k"], "k", ["hot"], ["hot"], 5)
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
@@ -133,3 +134,39 @@ def test_group_values_is_whole(spark, settings):
     big = [r for r in grouped if r.k == "big"]
     assert sorted(x for r in big for x in r.vals) == sorted({v for k, v in pairs if k == "big"})
     assert len(big) == 20 and max(r.n for r in big) < 200
+
+
+def test_a_hub_of_one_property_is_hot(spark):
+    """The share counts among the rows that the rule reads, not among all facts."""
+    from triplewright.plans import materialize as m
+    from triplewright.plans.axioms import select_axioms
+    from triplewright.plans.rulebook import compile_rules
+    from triplewright import vocab as v
+
+    few = spark.range(100).selectExpr("'<s' || id || '>' as s", "'<t>' as p", "'<hub>' as o")
+    many = spark.range(15_000).selectExpr("'<x' || id || '>' as s", "'<q>' as p", "'<y' || id || '>' as o")
+    stated = spark.createDataFrame([("<t>", v.TYPE, v.TRANSITIVE), ("<q>", v.INVERSE_OF, "<r>")], few.schema)
+    df, ws, settings = few.union(many).union(stated), Workspace(spark), Settings(pairs_per_task=1000)
+    book = compile_rules(ws, ws.save(select_axioms(df), "axioms"), settings)
+    facts = ws.rounds("facts", m.FACTS, settings.rows_per_file, partition_by="kind")
+    facts.append(m._relevant(df, book))
+    hot = m.Hot(settings)
+    hot.add(facts, book)
+    assert list(hot.of("transitive")[1]) == ["<hub>"]
+
+
+def test_closure_finds_a_pair_of_a_chain_about_once(spark, monkeypatch):
+    from triplewright.operators import closure
+
+    made = []
+    compose = closure.compose
+
+    def counted(*args):
+        out = compose(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(closure, "compose", counted)
+    edges = spark.range(200).selectExpr("'n' || id as src", "'n' || (id + 1) as dst")
+    assert transitive_closure(Workspace(spark), edges).count() == 20_100
+    assert sum(made) <= 3 * 20_100

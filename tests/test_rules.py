@@ -50,9 +50,9 @@ CASES = {
 }
 
 # The second setting forces shuffle joins, salting, and merging on every round.
-FORCED = Settings(broadcast_rows=0, filter_values=0, hot_share=0.02, salts=3, hot_min_rows=0, rows_per_file=5)
-# The third keeps broadcasts but lists no predicate in a filter, and writes candidates on every round.
-SEMI = Settings(filter_values=0, small_round_share=1.0, many_facts=0)
+FORCED = Settings(broadcast_rows=0, filter_values=0, hot_share=0.02, salts=3, pairs_per_task=0, cell_rows=4, rows_per_file=5)
+# The third keeps broadcasts but lists no predicate in a filter.
+SEMI = Settings(filter_values=0)
 
 
 RANDOM = [t for i in range(40) for t in graphs.random_graph(i, f"random{i}")]

@@ -19,7 +19,7 @@ def _downward(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame, hot_lo: list[str], salts: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_lo: dict[str, int], salts: int) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour, or to the node."""
     ends = edges.select(F.col("lo").alias("node"), F.col("lo").alias("near")).unionByName(
         edges.select(F.col("hi").alias("node"), F.col("lo").alias("near")))
@@ -29,7 +29,7 @@ def _large_star(edges: DataFrame, hot_lo: list[str], salts: int) -> DataFrame:
     return joined.select("hi", F.col("root").alias("lo"))
 
 
-def _small_star(edges: DataFrame, hot_hi: list[str], salts: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_hi: dict[str, int], salts: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     nearest = edges.groupBy("hi").agg(F.min("lo").alias("root"))
     joined = skew_join(edges, nearest, ["hi"], "hi", hot_left=hot_hi, salts=salts)

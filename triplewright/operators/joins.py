@@ -2,47 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
 
 
-def hot_values(df: DataFrame, column: str, settings: Settings, rows: int | None = None) -> list[str]:
-    """Values of ``column`` holding more than ``settings.hot_share`` of the rows.
+def hot_values(df: DataFrame, column: str, settings: Settings, rows: int | None = None) -> dict[str, int]:
+    """Values of ``column`` holding more than ``settings.hot_share`` of the rows, with their number of cells.
 
     The frequent-items sketch keeps a bounded map per partition and misses no value above the share,
-    so the candidates are few; their exact counts then remove the false ones. Neither step shuffles
-    the rows, and at most 1 / hot_share + 1 rows reach the driver. ``rows`` is the row count, if known.
+    so the candidates are few; their exact counts then remove the false ones and give the number of cells.
+    Neither step shuffles the rows, and at most 1 / hot_share + 1 rows reach the driver. ``rows`` is the row
+    count, if known, or more.
     """
-    if rows is not None and rows < settings.hot_min_rows:
-        return []
+    if rows is not None and rows * rows <= 4 * settings.pairs_per_task:
+        return {}
     candidates = df.select(column).freqItems([column], settings.hot_share).first()[0]
     if not candidates:
-        return []
+        return {}
     named = F.when(F.col(column).isin(list(candidates)), F.col(column)).alias("value")
     counts = df.select(named).groupBy("value").agg(F.count("*").alias("n")).collect()
     total = sum(r.n for r in counts)
-    if total < settings.hot_min_rows:
-        return []
-    return sorted(r.value for r in counts if r.value is not None and r.n > total * settings.hot_share)
+    if total * total <= 4 * settings.pairs_per_task:
+        return {}
+    hot = {r.value: r.n for r in counts if r.value is not None and r.n > total * settings.hot_share}
+    return {k: max(settings.salts, -(-hot[k] // settings.cell_rows)) for k in sorted(hot)}
 
 
-def _in(column: str, values: list[str]) -> Column:
-    return F.col(column).isin(values) if values else F.lit(False)
+def merged(*hot: dict[str, int]) -> dict[str, int]:
+    """The values of all, each with its largest number of cells."""
+    out: dict[str, int] = {}
+    for part in hot:
+        for value, cells in part.items():
+            out[value] = max(cells, out.get(value, 0))
+    return out
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str,
-              hot_left: list[str] = (), hot_right: list[str] = (), salts: int = 32,
-              small: str | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str, hot_left=(), hot_right=(),
+              salts: int = 32, small: str | None = None) -> DataFrame:
     """Inner join on ``on`` with the rows of hot keys spread over a grid of cells.
 
     ``small`` names the side ("left" or "right") that the caller has measured to fit a broadcast; the other
     side is then not shuffled at all.
 
-    A row whose ``hot_on`` value is hot on its own side goes to one of ``salts`` cells by a hash of
-    the row; a row whose value is hot on the other side is copied to each of that side's cells. All
-    other rows keep a single cell, and without hot values this is the plain join.
+    ``hot_left`` and ``hot_right`` map hot values to their cells, or list them to get ``salts`` each. A row
+    whose ``hot_on`` value is hot on its own side goes to one of the value's cells by a hash of the row; a
+    row whose value is hot on the other side is copied to each of that side's cells. All other rows keep a
+    single cell, and without hot values this is the plain join.
     """
     if small == "left":
         return F.broadcast(left).join(right, on=on)
@@ -51,17 +58,22 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str,
     if not hot_left and not hot_right:
         return left.join(right, on=on)
 
-    def cell(df, values):
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
-        return F.when(_in(hot_on, values), salt).otherwise(F.lit(0))
+    def cells(hot):
+        hot = dict(hot) if isinstance(hot, dict) else dict.fromkeys(hot, salts)
+        count = F.lit(1)
+        for number in sorted(set(hot.values())):
+            count = F.when(F.col(hot_on).isin([k for k, n in hot.items() if n == number]), number).otherwise(count)
+        return count
 
-    def copies(values):
-        every = F.sequence(F.lit(0), F.lit(salts - 1))
-        return F.explode(F.when(_in(hot_on, values), every).otherwise(F.array(F.lit(0))))
+    def cell(df, count):
+        return F.pmod(F.xxhash64(*df.columns), count).cast("int")
 
-    hot_left, hot_right = list(hot_left), list(hot_right)
-    spread_left = left.withColumn("_i", cell(left, hot_left)).withColumn("_j", copies(hot_right))
-    spread_right = right.withColumn("_j", cell(right, hot_right)).withColumn("_i", copies(hot_left))
+    def copies(count):
+        return F.explode(F.sequence(F.lit(0), count - 1))
+
+    i, j = cells(hot_left), cells(hot_right)
+    spread_left = left.withColumn("_i", cell(left, i)).withColumn("_j", copies(j))
+    spread_right = right.withColumn("_j", cell(right, j)).withColumn("_i", copies(i))
     return spread_left.join(spread_right, on=[*on, "_i", "_j"]).drop("_i", "_j")
 
 

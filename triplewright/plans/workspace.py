@@ -49,6 +49,11 @@ class Workspace:
         writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def rounds(self, name: str, schema: StructType, rows_per_file: int, partition_by: str | None = None) -> "Rounds":
         return Rounds(self, name, schema, rows_per_file, partition_by)
 
@@ -70,8 +75,14 @@ class Rounds:
         return len(self.counts) - 1
 
     def append(self, df: DataFrame) -> int:
-        """Write the next round and return its row count, read from the written files."""
+        """Write the next round and return its row count, read from the written files.
+
+        Facts are sorted by predicate inside each task's files, without a shuffle, so that a scan for a few
+        predicates skips the other row groups.
+        """
         number = len(self.counts)
+        if "p" in df.columns:
+            df = df.sortWithinPartitions(*([self.partition_by] if self.partition_by else []), "p")
         writer = df.write.mode("errorifexists").option("maxRecordsPerFile", self.rows_per_file)
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)

@@ -16,17 +16,18 @@ class Settings:
     broadcast_bytes: int = 64 * 1024 * 1024
     # At most this many predicate names are put into a scan filter; more go into a broadcast semi join.
     filter_values: int = 200
-    # While the newest facts are at most this share of more than `many_facts` known ones, the candidates of a
-    # round are written first: a few of them can then be sent to the known facts instead of shuffling those.
-    small_round_share: float = 0.25
-    many_facts: int = 1_000_000
+    # A rule table is broadcast to the newest facts while it has no more rows than they, or than this.
+    lookup_rows: int = 10_000
     # Files of a round are cut at this many rows, so that the next round can split the work evenly.
     rows_per_file: int = 4_000_000
-    # A join key holding more than this share of the rows is spread over `salts` cells.
+    # A join key holding more than this share of the rows that a join reads is spread over cells of about
+    # `cell_rows` of its rows, and over `salts` cells at least.
     hot_share: float = 0.01
     salts: int = 32
-    # Below this many rows a hot key cannot matter, so none is looked for.
-    hot_min_rows: int = 5_000_000
+    cell_rows: int = 100_000
+    # No key is looked for while even one that holds half of the rows on each side would give one task no more
+    # pairs than this.
+    pairs_per_task: int = 25_000_000
 
     @classmethod
     def of(cls, spark: SparkSession) -> "Settings":

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Writes inside leave no shuffle files behind: once a table is written, nothing reads them again."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -46,14 +63,30 @@ class Workspace:
         writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}")
+        with shuffles_freed(self.spark):
+            writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        self._delete(f"{self.root}/{name}")
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @contextmanager
+    def inner(self) -> Iterator["Workspace"]:
+        """A workspace for one step, whose tables are deleted when the step ends.
+
+        What outlives the step must be saved in the outer workspace before the end.
+        """
+        step = Workspace(self.spark, self.root)
+        try:
+            yield step
+        finally:
+            self._delete(step.root)
+
     def rounds(self, name: str, schema: StructType, rows_per_file: int, partition_by: str | None = None) -> "Rounds":
         return Rounds(self, name, schema, rows_per_file, partition_by)
 
@@ -86,7 +119,8 @@ class Rounds:
         writer = df.write.mode("errorifexists").option("maxRecordsPerFile", self.rows_per_file)
         if self.partition_by:
             writer = writer.partitionBy(self.partition_by)
-        writer.parquet(f"{self.path}/round={number}")
+        with shuffles_freed(self.workspace.spark):
+            writer.parquet(f"{self.path}/round={number}")
         self.counts.append(-1)
         self.counts[number] = self.read(number, number).count()
         return self.counts[number]

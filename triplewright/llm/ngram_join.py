@@ -176,12 +176,15 @@ def _shared(rows: DataFrame, tokens: int, whole: bool, width: int) -> DataFrame:
 
 
 def _profiles(width: int):
-    """(key, n, weight, marks, prefix) of each set: its mean class, minimal hashes and rarest tokens."""
+    """(key, n, weight, marks, prefix, text) of each set: its mean class, minimal hashes and rarest tokens.
+
+    A text that is not that of the key is left out, as where rows of one id have different texts.
+    """
     seeds = mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
 
     def rows(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for key, body, classes in zip(batch.column(0).to_pylist(), texts(batch.column(1)),
                                           batch.column(2).to_pylist()):
                 tokens = token_set(body, width)
@@ -192,12 +195,13 @@ def _profiles(width: int):
                 prefix = np.where(classes[rare] > 0, tokens[rare].view(np.int64), 0)
                 for column, value in zip(out, (
                         key, len(tokens), float(classes.mean()),
-                        [int(mixed(tokens ^ s).min()) - _LIMIT for s in seeds], prefix)):
+                        [int(mixed(tokens ^ s).min()) - _LIMIT for s in seeds], prefix, body)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()),
-                 pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64()))],
-                ["key", "n", "weight", "marks", "prefix"])
+                 pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.list_(pa.int64())),
+                 pa.array(out[5], pa.binary()).cast(pa.string())],
+                ["key", "n", "weight", "marks", "prefix", "text"])
 
     return rows
 
@@ -221,7 +225,7 @@ def _verified(width: int):
     return rows
 
 
-def _typical_links(profiles: DataFrame, kept: DataFrame, ws: Workspace, width: int) -> DataFrame:
+def _typical_links(profiles: DataFrame, ws: Workspace, width: int) -> DataFrame:
     """Verified links of sets with the most typical set among those with the same minimal hash."""
     marked = profiles.select("key", "n", "weight", F.posexplode("marks").alias("turn", "mark"))
     typical = marked.groupBy("turn", "mark").agg(
@@ -231,8 +235,8 @@ def _typical_links(profiles: DataFrame, kept: DataFrame, ws: Workspace, width: i
     near = f"{DENOMINATOR} * least(n, size) >= {NUMERATOR} * greatest(n, size)"
     pairs = marked.join(typical, ["turn", "mark"]).where("key <> centre").where(near).select("key", "centre").distinct()
     pairs = ws.save(pairs, ws.unique("pairs"))
-    mine = pairs.join(kept.select("key", "text"), "key")
-    other = kept.select(F.col("key").alias("centre"), F.col("text").alias("other"))
+    mine = pairs.join(profiles.select("key", "text"), "key")
+    other = profiles.select(F.col("key").alias("centre"), F.col("text").alias("other"))
     both = mine.join(other, "centre").select("key", "centre", "text", "other")
     return both.mapInArrow(_verified(width), "src long, dst long")
 
@@ -274,7 +278,7 @@ def _opened(width: int):
     return rows
 
 
-def _matrix_links(profiles: DataFrame, kept: DataFrame, parts: DataFrame, ws: Workspace, width: int) -> DataFrame:
+def _matrix_links(profiles: DataFrame, parts: DataFrame, ws: Workspace, width: int) -> DataFrame:
     """Verified links between sets of different components, at least one for each pair of them that links.
 
     The set of the smaller component asks for groups of the larger one. Of a pair that links, the smaller set
@@ -304,15 +308,43 @@ def _matrix_links(profiles: DataFrame, kept: DataFrame, parts: DataFrame, ws: Wo
     wanted = ws.save(rows.join(matrix, "token").where("part <> g_part").where(smaller).where(sized)
                      .select("key", matrix["group"]).distinct(), ws.unique("wanted"))
     members = placed.select("group", "key").join(wanted.select("group").distinct(), "group").join(
-        kept.select("key", "text"), "key")
+        profiles.select("key", "text"), "key")
     payload = ws.save(members.groupBy("group").applyInArrow(
         _group_payload(width), "group long, members binary, sizes binary, sets binary, token_union binary"),
         ws.unique("groups"))
-    asked = wanted.join(kept.select("key", "text"), "key").join(payload, "group")
+    asked = wanted.join(profiles.select("key", "text"), "key").join(payload, "group")
     return asked.select("key", "text", "members", "sizes", "sets", "token_union").mapInArrow(
         _opened(width), "src long, dst long")
 
 
+def _joined_sets(docs: DataFrame, sets: DataFrame, ws: Workspace, width: int) -> DataFrame:
+    """(node, rep): the component of every set (key, rep, n) of ``sets`` that links with another."""
+    with ws.inner() as first:
+        tokens = sets.agg(F.sum("n")).first()[0] or 0
+        early = _shared(docs, tokens // 2, False, width).groupBy("key").agg(F.sum("shared").alias("shared"))
+        least = f"greatest(1, floor(ceil({NUMERATOR} * n / {DENOMINATOR}) / 4))"
+        alive = first.save(sets.join(early, "key").where(f"shared >= {least} and rep is not null"), "alive")
+        tokens = alive.agg(F.sum("n")).first()[0] or 0
+        wide = first.save(docs.join(alive.select("key", F.col("rep").alias("doc_id"), "n"), "doc_id")
+                          .select("key", "n", "text"), "wide")
+        classes = _shared(wide, tokens, True, width).groupBy("key").agg(
+            F.sum("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("range", "classes"))).alias("parts"))
+        joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["classes"]))
+        classes = first.save(classes.join(alive.select("key", "n"), "key")
+                             .where(f"shared >= ceil({NUMERATOR} * n / {DENOMINATOR})")
+                             .select("key", joined.alias("classes")), "classes")
+        profiles = ws.save(wide.join(classes, "key").select("key", "text", "classes").mapInArrow(
+            _profiles(width), "key long, n long, weight double, marks array<long>, prefix array<long>, text string")
+            .dropDuplicates(["key"]), ws.unique("profiles"))
+    with ws.inner() as second:
+        typical = ws.save(_typical_links(profiles, second, width), ws.unique("typical_links"))
+    with ws.inner() as third:
+        parts = third.save(connected_components(third, typical), "parts")
+        found = typical.unionByName(_matrix_links(profiles, parts, third, width))
+        found = ws.save(found, ws.unique("links"))
+    return connected_components(ws, found)
+
+
 def jaccard_components(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row (doc_id, text).
 
@@ -322,33 +354,16 @@ def jaccard_components(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described_rows = ws.save(described(docs, width), ws.unique("described"))
-    sets = ws.save(described_rows.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), ws.unique("sets"))
-    tokens = sets.agg(F.sum("n")).first()[0] or 0
-    early = _shared(docs, tokens // 2, False, width).groupBy("key").agg(F.sum("shared").alias("shared"))
-    least = f"greatest(1, floor(ceil({NUMERATOR} * n / {DENOMINATOR}) / 4))"
-    alive = ws.save(sets.join(early, "key").where(f"shared >= {least} and rep is not null"), ws.unique("alive"))
-    tokens = alive.agg(F.sum("n")).first()[0] or 0
-    kept = ws.save(docs.join(alive.select("key", F.col("rep").alias("doc_id"), "n"), "doc_id")
-                   .select("key", "n", "text"), ws.unique("kept"))
-    classes = _shared(kept, tokens, True, width).groupBy("key").agg(
-        F.sum("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("range", "classes"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["classes"]))
-    classes = ws.save(classes.join(alive.select("key", "n"), "key")
-                      .where(f"shared >= ceil({NUMERATOR} * n / {DENOMINATOR})")
-                      .select("key", joined.alias("classes")), ws.unique("classes"))
-    profiles = ws.save(kept.join(classes, "key").select("key", "text", "classes").mapInArrow(
-        _profiles(width), "key long, n long, weight double, marks array<long>, prefix array<long>")
-        .dropDuplicates(["key"]), ws.unique("profiles"))
-    typical = ws.save(_typical_links(profiles, kept, ws, width), ws.unique("typical_links"))
-    parts = ws.save(connected_components(ws, typical), ws.unique("parts"))
-    found = typical.unionByName(_matrix_links(profiles, kept, parts, ws, width))
-    parts = ws.save(connected_components(ws, ws.save(found, ws.unique("links"))), ws.unique("parts"))
-    parts = parts.select(F.col("node").alias("key"), F.col("rep").alias("part"))
-    members = parts.join(sets.select("key", "rep"), "key")
-    smallest = ws.save(members.groupBy("part").agg(F.min("rep").alias("least")), ws.unique("smallest"))
-    linked_sets = ws.save(parts.join(smallest, "part").select("key", "least"), ws.unique("linked_sets"))
-    named = sets.select("key", "rep").join(linked_sets, "key", "left").select(
-        "key", F.coalesce("least", "rep").alias("least"))
-    return described_rows.join(ws.save(named, ws.unique("named")), "key", "left").select(
+    with ws.inner() as step:
+        sets = step.save(described_rows.where("key is not null").groupBy("key").agg(
+            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "sets")
+        parts = step.save(_joined_sets(docs, sets, step, width), "parts")
+        parts = parts.select(F.col("node").alias("key"), F.col("rep").alias("part"))
+        members = parts.join(sets.select("key", "rep"), "key")
+        smallest = step.save(members.groupBy("part").agg(F.min("rep").alias("least")), "smallest")
+        linked_sets = step.save(parts.join(smallest, "part").select("key", "least"), "linked_sets")
+        named = sets.select("key", "rep").join(linked_sets, "key", "left").select(
+            "key", F.coalesce("least", "rep").alias("least"))
+        named = ws.save(named, ws.unique("named"))
+    return described_rows.join(named, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))

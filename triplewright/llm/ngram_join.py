@@ -42,11 +42,6 @@ def need(size):
     return -(-NUMERATOR * size // DENOMINATOR)
 
 
-def need_smaller(size):
-    """The same for the smaller set of the pair."""
-    return -(-2 * NUMERATOR * size // (NUMERATOR + DENOMINATOR))
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted token sets link."""
     if DENOMINATOR * min(len(a), len(b)) < NUMERATOR * max(len(a), len(b)):
@@ -281,8 +276,9 @@ def _opened(width: int):
 def _matrix_links(profiles: DataFrame, parts: DataFrame, ws: Workspace, width: int) -> DataFrame:
     """Verified links between sets of different components, at least one for each pair of them that links.
 
-    The set of the smaller component asks for groups of the larger one. Of a pair that links, the smaller set
-    has one of its ``n - need_smaller(n) + 1`` rarest tokens among the ``n - need(n) + 1`` rarest of the larger.
+    The set of the smaller component asks for groups of the larger one. Sets of a and b tokens that link share
+    m of them with NUMERATOR * (a + b) <= (NUMERATOR + DENOMINATOR) * m, and from the first token they share, in
+    order of rarity, each has at least m left. So its place bounds in each set how large the other one may be.
     """
     placed = profiles.join(parts.select(F.col("node").alias("key"), "rep"), "key", "left").select(
         "key", "n", "prefix", F.coalesce("rep", "key").alias("part"))
@@ -293,18 +289,16 @@ def _matrix_links(profiles: DataFrame, parts: DataFrame, ws: Workspace, width: i
         "key", "n", "prefix", "part", "members", F.xxhash64("part", block).alias("group")), ws.unique("placed"))
     rows = placed.select("key", "n", "part", "members", "group", F.posexplode("prefix").alias("at", "token"))
     rows = rows.where("token <> 0").withColumn(
-        "early", F.col("at") < F.col("n") - F.expr(f"ceil({2 * NUMERATOR} * n / {NUMERATOR + DENOMINATOR})") + 1)
+        "room", F.expr(f"{NUMERATOR + DENOMINATOR} * (n - at) - {NUMERATOR} * n")).drop("at")
     split = rows.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     split = ws.save(split.where("a <> b").select("token"), ws.unique("split"))
     rows = ws.save(rows.join(split, "token"), ws.unique("prefix_rows"))
     matrix = rows.groupBy("token", "group").agg(
         F.first("part").alias("g_part"), F.first("members").alias("g_members"),
-        F.min(F.when(F.col("early"), F.col("n"))).alias("g_early"), F.min("n").alias("g_min"),
-        F.max("n").alias("g_max"))
+        F.min("n").alias("g_min"), F.max("room").alias("g_room"))
     matrix = ws.save(matrix, ws.unique("matrix"))
     smaller = "members < g_members or (members = g_members and part < g_part)"
-    sized = (f"{DENOMINATOR} * g_max >= {NUMERATOR} * n and {DENOMINATOR} * n >= {NUMERATOR} * g_min "
-             "and (g_early <= n or (early and g_max >= n))")
+    sized = f"{NUMERATOR} * g_min <= room and {NUMERATOR} * n <= g_room"
     wanted = ws.save(rows.join(matrix, "token").where("part <> g_part").where(smaller).where(sized)
                      .select("key", matrix["group"]).distinct(), ws.unique("wanted"))
     members = placed.select("group", "key").join(wanted.select("group").distinct(), "group").join(

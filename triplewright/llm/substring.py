@@ -141,12 +141,13 @@ def repeated_windows(docs: DataFrame, ws: Workspace, width: int = WINDOW, anchor
     Only texts with such windows have a row. ``ranges`` holds lo << 32 | hi for windows lo to hi.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    seeds = ws.save(docs.mapInArrow(_seed_rows(width, anchor), ANCHORS), ws.unique("seeds"))
-    met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
-                                      F.min("run").alias("a"), F.max("run").alias("b"))
-    met = ws.save(met.where("first < last").select("anchor", (F.col("a") != F.col("b")).alias("differs")),
-                  ws.unique("met"))
-    shared = ws.save(seeds.join(met, "anchor"), ws.unique("shared"))
+    with ws.inner() as first:
+        seeds = first.save(docs.mapInArrow(_seed_rows(width, anchor), ANCHORS), "seeds")
+        met = seeds.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+                                          F.min("run").alias("a"), F.max("run").alias("b"))
+        met = first.save(met.where("first < last").select("anchor", (F.col("a") != F.col("b")).alias("differs")),
+                         "met")
+        shared = ws.save(seeds.join(met, "anchor"), ws.unique("shared"))
     runs = shared.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"))
     runs = ws.save(runs, ws.unique("runs"))
     settled = ws.save(shared.join(runs, ["anchor", "run"]).where("doc_id > least or differs").select(
@@ -176,10 +177,11 @@ def dedup_substrings(docs: DataFrame, ws: Workspace, width: int = WINDOW, anchor
     have no words, shorter texts have no window. Rows with one id do not count against each other, and a row
     without an id neither removes nor loses words. Windows are compared by 64-bit hashes.
     """
-    found = repeated_windows(docs, ws, width, anchor).select("doc_id", "ranges", F.col("mark").alias("found"))
-    # Rows of one id but different texts each see the ranges of all; the mark says whose they are.
-    found = found.groupBy("doc_id").agg(F.collect_list("found").alias("marks"),
-                                        F.collect_list("ranges").alias("ranges"))
+    with ws.inner() as step:
+        found = repeated_windows(docs, step, width, anchor).select("doc_id", "ranges", F.col("mark").alias("found"))
+        # Rows of one id but different texts each see the ranges of all; the mark says whose they are.
+        found = ws.save(found.groupBy("doc_id").agg(F.collect_list("found").alias("marks"),
+                                                    F.collect_list("ranges").alias("ranges")), ws.unique("found"))
 
     def rows(batches):
         for batch in batches:

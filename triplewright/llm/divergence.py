@@ -8,10 +8,13 @@ one for each document and chunk, and each block then counts distinct documents a
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +25,17 @@ from .words import texts
 
 MIN_DOCUMENTS = 30
 RANKS = 50
-#: A block ends after this many bytes of text, or with the Arrow batch that it is in.
+#: A block ends after this many bytes of text.
 BLOCK_BYTES = 24_000_000
 SCALE = 1_000_000_000
 SMOOTH = 5
 
-BLOCKS = ("block long, chunks array<string>, langs array<string>, sources array<string>, doc_group binary, "
-          "doc_ends binary, ids binary, counts binary")
+BLOCKS = "block long, chunks array<string>, langs array<string>, sources array<string>, postings binary"
 TERMS = "chunk string, terms array<string>"
 PARTIAL = "lang string, term string, docs long, sources array<string>, occurrences array<long>"
 #: A-Z become lower case; of ASCII only letters belong to terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_IN_TERMS = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 class _Numbers(dict):
@@ -47,6 +50,64 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
+class _Block:
+    """Documents as numbered chunks with counts; chunks without a character of a term are left out."""
+
+    def __init__(self):
+        self.chunks, self.groups, self.size = _Numbers(), _Numbers(), 0
+        self.doc_group, self.doc_size, self.ids, self.counts = [], [], [], []
+
+    def add(self, group: tuple[bytes, bytes], content: bytes) -> None:
+        counted = Counter(content.split())
+        self.size += len(content)
+        self.doc_group.append(self.groups[group])
+        self.doc_size.append(len(counted))
+        self.ids.append(np.fromiter(map(self.chunks.__getitem__, counted), np.int32, len(counted)))
+        self.counts.append(np.fromiter(counted.values(), np.int32, len(counted)))
+
+    def record(self) -> pa.RecordBatch:
+        names = list(self.chunks)
+        useful = np.fromiter((_IN_TERMS.search(c) is not None for c in names), bool, len(names))
+        ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
+        document = np.repeat(np.arange(len(self.doc_size)), self.doc_size)
+        kept = useful[ids]
+        ids, counts, document = (np.cumsum(useful) - 1)[ids[kept]], counts[kept], document[kept]
+        order = np.lexsort((ids, document))
+        packed = _pack(np.array(self.doc_group), np.bincount(document, minlength=len(self.doc_size)), ids[order], counts[order])
+        lists = ([c for c, u in zip(names, useful) if u], [lang for lang, _ in self.groups], [s for _, s in self.groups])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([0], pa.int64()),
+             *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), _strings(x)) for x in lists),
+             pa.array([packed], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def _pack(doc_group: np.ndarray, doc_size: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Postings as four arrays, compressed. Ids rise within a document and are kept as steps, halves apart."""
+    steps = np.diff(ids, prepend=0)
+    starts = (np.cumsum(doc_size) - doc_size)[doc_size > 0]
+    steps[starts] = ids[starts]
+    steps = steps.astype("<u4")
+    planes = [doc_group.astype("<u4"), doc_size.astype("<u4"), (steps & 0xFFFF).astype("<u2"),
+              (steps >> 16).astype("<u2"), counts.astype("<u4")]
+    sizes = np.array([len(doc_size), len(ids)], "<u8")
+    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(p.tobytes() for p in planes))
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_group, doc_size, ids and counts."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    documents, n = np.frombuffer(raw, "<u8", 2).tolist()
+    at, out = 16, []
+    for dtype, length in (("<u4", documents), ("<u4", documents), ("<u2", n), ("<u2", n), ("<u4", n)):
+        out.append(np.frombuffer(raw, dtype, length, at).astype(np.int64))
+        at += length * int(dtype[2])
+    doc_group, doc_size, low, high, counts = out
+    total = np.cumsum(low | high << 16)
+    starts = np.cumsum(doc_size) - doc_size
+    before = np.concatenate([[0], total])[starts]
+    return doc_group, doc_size, total - np.repeat(before, doc_size), counts
+
+
 def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
            block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of ``BLOCKS``: documents as counted white-space chunks, several documents to a block.
@@ -55,45 +116,29 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     A null text, lang or source is an empty one.
     """
 
-    def block(rows):
-        chunks, groups = _Numbers(), _Numbers()
-        of, ends, ids, counts, end = [], [], [], [], 0
-        for group, content in rows:
-            counted = Counter(content.split())
-            end += len(counted)
-            of.append(groups[group])
-            ends.append(end)
-            ids.append(np.fromiter(map(chunks.__getitem__, counted), np.int32, len(counted)))
-            counts.append(np.fromiter(counted.values(), np.int32, len(counted)))
-        return [chunks, [g for g, _ in groups], [g for _, g in groups], np.array(of, np.int32), np.array(ends, np.int64),
-                np.concatenate(ids), np.concatenate(counts)]
-
-    def record(found):
-        chunks, langs, sources, *arrays = found
-        return pa.RecordBatch.from_arrays(
-            [pa.array([0], pa.int64()),
-             *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), _strings(list(x)))
-               for x in (chunks, langs, sources)),
-             *(pa.array([x.tobytes()], pa.binary()) for x in arrays)],
-            [c.split()[0] for c in BLOCKS.split(", ")])
-
     def of(batches):
+        block = _Block()
         for batch in batches:
-            held, size = [], 0
-            for one_lang, one_source, content in zip(*(texts(batch.column(i)) for i in range(3))):
-                held.append(((one_lang, one_source), content))
-                size += len(content)
-                if size >= block_bytes:
-                    yield record(block(held))
-                    held, size = [], 0
-            if held:
-                yield record(block(held))
+            for group, content in _documents(batch):
+                block.add(group, content)
+                if block.size >= block_bytes:
+                    yield block.record()
+                    block = _Block()
+        if block.doc_size:
+            yield block.record()
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
                           for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
     return plain.mapInArrow(of, BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
+def _documents(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[tuple[tuple[bytes, bytes], bytes]]:
+    for at in range(0, batch.num_rows, at_once):
+        part = batch.slice(at, at_once)
+        for one_lang, one_source, content in zip(*(texts(part.column(i)) for i in range(3))):
+            yield (one_lang, one_source), content
+
+
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """Rows of ``TERMS``: the terms of each chunk (chunk) in order, with repeats; chunks without terms are left out."""
 
@@ -117,9 +162,8 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
                                                 pa.list_(pa.int64()))], names=columns)
     if not left.num_rows or not right.num_rows:
         return empty
-    row = left.select(["langs", "sources", "doc_group", "doc_ends", "ids", "counts"]).to_pylist()[0]
-    doc_group, doc_ends = np.frombuffer(row["doc_group"], np.int32), np.frombuffer(row["doc_ends"], np.int64)
-    ids, counts = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["counts"], np.int32)
+    row = left.select(["langs", "sources", "postings"]).to_pylist()[0]
+    doc_group, doc_size, ids, counts = _unpack(row["postings"])
 
     # Terms of chunk i are codes[first[i]:first[i] + size[i]].
     lists = right.column("terms").combine_chunks()
@@ -132,7 +176,7 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
     first[place], size[place] = np.cumsum(sizes) - sizes, sizes
 
     # One entry for each document, chunk and term of it; then one for each document and term.
-    documents = np.repeat(np.arange(len(doc_ends)), np.diff(doc_ends, prepend=0))
+    documents = np.repeat(np.arange(len(doc_size)), doc_size)
     each = size[ids]
     if not each.sum():
         return empty
@@ -173,7 +217,10 @@ def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMEN
         held = step.save(blocks(docs), "blocks")
         listed = held.select("block", F.posexplode("chunks").alias("number", "chunk"))
         terms = step.save(chunk_terms(listed.select("chunk").distinct()), "terms")
-        joined = listed.join(terms, "chunk").select(F.col("block").alias("of_block"), "number", "terms")
+        # Written, so that the shuffles of this join are gone when the blocks are shuffled.
+        joined = step.save(listed.join(terms, "chunk").select(F.col("block").alias("of_block"), "number", "terms"),
+                           "joined")
+        step.drop("terms")
         counted = held.drop("chunks").groupBy("block").cogroup(joined.groupBy("of_block"))
         partial = ws.save(counted.applyInArrow(_count_block, PARTIAL), ws.unique("partial"))
     kept = ws.save(partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)

@@ -1,6 +1,8 @@
 """The pipeline and the registered queries on the smallest tables."""
 
+import collections
 import os
+import random
 
 import duckdb
 import pytest
@@ -16,15 +18,35 @@ from .test_pairs import expected_components, expected_dedup
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+FIRST_BAD = 10_000
+
+
+def bad_texts():
+    """Texts that pass the base rules and that only their many signs tell from the others."""
+    r = random.Random(6)
+    return [" ".join(f"b{r.randrange(400)}###" for _ in range(r.choice((70, 130)))) for _ in range(90)]
+
+
 @pytest.fixture(scope="module")
 def labels(spark, tmp_path_factory):
+    """The first 40 documents are good, two of three bad ones are known."""
     folder = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    found = [(i, 1) for i in range(200)] + [(FIRST_BAD + i, 0) for i in range(90) if i % 3]
+    spark.createDataFrame(found, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
+def passes_base_rules(text):
+    found = words(text)
+    grams = collections.Counter(zip(found, found[1:], found[2:]))
+    covered = {i + j for i, g in enumerate(zip(found, found[1:], found[2:])) if grams[g] > 1 for j in range(3)}
+    return len(found) >= 50 and 100 * len(covered) <= 50 * len(found)
+
+
 def test_stages_against_brute_force(spark, labels):
-    data = rows(corpus(9, 40))
+    data = rows(corpus(9, 120))
+    clean = {r[0] for r in data if passes_base_rules(r[1])}
+    data += [(FIRST_BAD + i, *r[1:]) for i, r in enumerate(rows(bad_texts()))]
     ws, docs = Workspace(spark), spark.createDataFrame(data, SCHEMA)
     held = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -33,7 +55,8 @@ def test_stages_against_brute_force(spark, labels):
         if name != "best_fit_packing":
             assert docs.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     kept = {r.doc_id: r.text for r in held["quality_rules"]}
-    assert {d for d, t in kept.items()} == {r[0] for r in data if len(words(r[1])) >= 50 and r[1] != "same " * 120}
+    assert all(passes_base_rules(r[1]) for r in data if r[0] >= FIRST_BAD)  # what rejects them is learned
+    assert set(kept) == clean
     first = [d for d, _, c in expected_components(sorted(kept.items())) if d == c]
     stay = {r.doc_id: r.text for r in held["near_duplicates"]}
     assert stay == {d: kept[d] for d in first}
@@ -74,7 +97,7 @@ def test_query(spark, name):
     assert answer
     if name in ORACLES:
         con = duckdb.connect()
-        for table in ("documents", "embeddings", "pages", "labels"):
+        for table in ("documents", "embeddings", "pages", "labels", "benchmark"):
             con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
         cursor = con.execute(ORACLES[name])
         names = [c[0] for c in cursor.description]

@@ -23,15 +23,42 @@ from ..plans.workspace import Workspace
 from .words import texts
 
 CAPACITY = 2048
-#: Words, and parts of words, whose ids a worker remembers; past that it forgets them all.
+#: Words, and parts of words, whose ids a worker remembers in each of two generations: what was not met since the last
+#: one began is forgotten.
 REMEMBERED_WORDS = 250_000
-REMEMBERED_PARTS = 800_000
+REMEMBERED_PARTS = 400_000
 #: Documents that are split into words at the same time.
 AT_ONCE = 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, last_rank long, per_bin long, first_bin long, base long"
 
 
+class _Remembered(dict):
+    """A dictionary of two generations. Keys that are met again move to the younger one; the older one goes when the
+    younger is full, so that frequent keys stay however many rare ones pass."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that neither generation has; those of the older one are known from now on."""
+        older, out = self.older, []
+        for key in keys:
+            if key not in self:
+                if key in older:
+                    self[key] = older[key]
+                else:
+                    out.append(key)
+        return out
+
+    def make_room(self) -> None:
+        """Begin a new generation if this one is full. Before the keys of a batch are looked for, not after."""
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class _WordIds:
     """Token ids of white-space separated words as little-endian bytes.
 
@@ -47,7 +74,8 @@ class _WordIds:
     PLAIN = regex.compile(r"(?:(?!<\|)[!-~\u00A1-\u012F\u0131-\u024F])+")
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.parts = _Remembered(REMEMBERED_WORDS), _Remembered(REMEMBERED_PARTS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -70,12 +98,11 @@ class _WordIds:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.parts) > REMEMBERED_PARTS:
-            self.parts.clear()
+        self.parts.make_room()
         decoded = [w.decode() for w in new]
         plain = [bool(self.PLAIN.fullmatch(w)) for w in decoded]
         cut = [self.PARTS.findall(w.lower()) if p else [] for w, p in zip(decoded, plain)]
-        missing = list({x for parts in cut for x in parts if x not in self.parts})
+        missing = self.parts.missing({x for parts in cut for x in parts})
         self.parts.update(zip(missing, self._encode(missing)))
         known = self.parts
         self.words.update((w, b"".join([known[x] for x in parts])) for w, parts, p in zip(new, cut, plain) if p)
@@ -88,11 +115,8 @@ class _WordIds:
     def _of(self, documents: list[bytes | None]) -> Iterator[bytes]:
         split = [(d or b"").split() for d in documents]
         words = self.words
-        new = list({w for found in split for w in found if w not in words})
-        if new and len(words) + len(new) > REMEMBERED_WORDS:
-            new = list({w for found in split for w in found})
-            words.clear()
-        self._learn(new)
+        words.make_room()
+        self._learn(words.missing({w for found in split for w in found if w not in words}))
         for found in split:
             yield b"".join([words[w] for w in found])
 

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from triplewright.operators.joins import meeting_key  # noqa: E402
 from triplewright.settings import session_conf  # noqa: E402
 
 
@@ -29,3 +30,9 @@ def spark(tmp_path_factory):
 def rows(df):
     """A frame as a sorted list of tuples, so that repeated rows show."""
     return sorted(map(tuple, df.collect()))
+
+
+def key_of(spark, *values):
+    """The number that rows with these values meet on."""
+    frame = spark.createDataFrame([values], [f"c{i}" for i in range(len(values))])
+    return frame.select(meeting_key(*frame.columns)).first()[0]

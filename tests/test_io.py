@@ -9,7 +9,7 @@ from triplewright import vocab as v
 from triplewright.functions import terms
 from triplewright.plans import workspace
 from triplewright.plans.axioms import select_axioms
-from triplewright.sources.ntriples import parse_lines, read_triples, reject_lines
+from triplewright.sources.ntriples import parse_lines, read_triples, reject_lines, stage_lines
 from triplewright.sources.sinks import to_lines, write_result
 
 LINES = [
@@ -47,6 +47,30 @@ def test_lines(spark):
     assert reasons["hello"] == "no subject" and reasons["<a> _:p <b> ."] == "no predicate"
 
 
+@pytest.mark.parametrize("lexical", [False, True])
+def test_text_is_read_once(spark, lexical):
+    """Triples and rejects come from one pass over the lines, and are those of two separate ones."""
+    given = [line for line, _ in LINES] + SKIPPED + REJECTED
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = frame(spark, given).repartition(3)
+    triples, rejects = stage_lines(lines.mapInArrow(counted, "value string"), Workspace(spark), lexical)
+    assert rows(triples) == rows(parse_lines(lines, lexical).select("s", "p", "o"))
+    assert rows(rejects) == rows(reject_lines(lines))
+    assert triples.count() == len(LINES) and rejects.count() == len(REJECTED)
+    assert seen.value == len(given)
+
+
+def test_stage_of_one_part_only(spark):
+    for given, sizes in ((["<a> <p> <b> ."], (1, 0)), (["nothing"], (0, 1)), ([], (0, 0))):
+        assert tuple(df.count() for df in stage_lines(frame(spark, given), Workspace(spark))) == sizes
+
+
 def test_lexical_only(spark):
     df = frame(spark, ['<a> <p> "5" .', '<a> <p> "5"@en .', '<a> <p> "5"^^<t> .', "<a> <p> <b> ."])
     assert {r.o for r in parse_lines(df, lexical_only=True).collect()} == {'"5"', "<b>"}
@@ -82,6 +106,14 @@ def test_job(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/out/new_types").first().value == f"<u> {v.TYPE} <C> ."
     assert spark.read.text(f"{tmp_path}/out/new_sameas").count() == 0
     assert spark.read.parquet(f"{tmp_path}/bad").first().value == "broken"
+    report = dict(rows(spark.read.parquet(f"{tmp_path}/out/run_report")))
+    assert report.pop("seconds") >= 0
+    assert report["input_triples"] == 2 and report["rejected_lines"] == 1 and report["rounds"] == 2
+    assert report["round_1"] == report["new_types"] == report["new_types_written"] == 1 and report["round_2"] == 0
+    table = tmp_path / "table"
+    spark.createDataFrame([("<u>", "<p>", "<x>"), ("<p>", v.RANGE, "<C>")], "s string, p string, o string").write.parquet(str(table))
+    job.run(spark, [str(table), f"{tmp_path}/out2", "--from", "parquet", "--format", "parquet"])
+    assert rows(spark.read.parquet(f"{tmp_path}/out2/new_types")) == [("<x>", v.TYPE, "<C>")]
 
 
 def test_metrics(spark):
@@ -93,6 +125,8 @@ def test_metrics(spark):
         "new_subproperties": 0, "new_equivalent_properties": 0, "new_instances": 0, "new_types": 2,
         "new_sameas_pairs": 1, "largest_sameas_class": 2,
     }
+    assert rows(result.round_rows()) == [(1, "instance", 0), (1, "sameas", 0), (1, "type", 2), (2, "instance", 0),
+                                         (2, "sameas", 0), (2, "type", 0)]
     assert ("<A>", "<C>") in rows(result.equivalent_classes) and ("<A>", "<B>") not in rows(result.equivalent_classes)
 
 

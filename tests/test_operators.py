@@ -7,15 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import naive
-from conftest import rows
+from conftest import key_of, rows
 from triplewright import Settings, Workspace
 from triplewright.operators import sets
 from triplewright.operators.closure import transitive_closure
 from triplewright.operators.components import connected_components, expand_pairs
-from triplewright.operators.joins import hot_values, skew_join
+from triplewright.operators.joins import Counts, grid, hot_values, skew_join
 from triplewright.operators.sameas import functional_links, pair_counts
 
-HOT = Settings(hot_share=0.1, salts=4, pairs_per_task=0, cell_rows=100)
+HOT = Settings(hot_share=0.1, salts=4, pairs_per_task=0, cell_rows=100, pair_block=5)
 
 
 def edges_of(spark, pairs):
@@ -91,6 +91,16 @@ def test_pairs_and_their_count(spark, settings):
     assert counts.new_pairs == len(expected) - 1
 
 
+def test_pairs_of_a_large_class_in_blocks(spark):
+    """No cell of the join has more than about the pairs of two blocks, whatever the size of the class."""
+    members = spark.range(3000).selectExpr("'n' || id as node", "if(id < 2900, 'a', 'r' || id div 2) as rep")
+    found = expand_pairs(members, Settings(pair_block=100))
+    assert found.count() == 2900 * 2899 + 100
+    assert found.distinct().count() == 2900 * 2899 + 100
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "i#" in plan and "j#" in plan
+
+
 def test_hot_values(spark):
     df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', 'k' || id) as k")
     assert hot_values(df, "k", HOT) == {"hot": 4}
@@ -140,19 +150,50 @@ def test_a_hub_of_one_property_is_hot(spark):
     """The share counts among the rows that the rule reads, not among all facts."""
     from triplewright.plans import materialize as m
     from triplewright.plans.axioms import select_axioms
+    from triplewright.plans.heat import Heat
     from triplewright.plans.rulebook import compile_rules
+    from triplewright.plans.store import FactStore
     from triplewright import vocab as v
 
-    few = spark.range(100).selectExpr("'<s' || id || '>' as s", "'<t>' as p", "'<hub>' as o")
+    few = spark.range(100).selectExpr("'<s' || id || '>' as s", "'<t>' as p", "'<hub>' as o").unionByName(
+        spark.range(50).selectExpr("'<hub>' as s", "'<t>' as p", "'<z' || id || '>' as o"))
     many = spark.range(15_000).selectExpr("'<x' || id || '>' as s", "'<q>' as p", "'<y' || id || '>' as o")
     stated = spark.createDataFrame([("<t>", v.TYPE, v.TRANSITIVE), ("<q>", v.INVERSE_OF, "<r>")], few.schema)
     df, ws, settings = few.union(many).union(stated), Workspace(spark), Settings(pairs_per_task=1000)
     book = compile_rules(ws, ws.save(select_axioms(df), "axioms"), settings)
-    facts = ws.rounds("facts", m.FACTS, settings.rows_per_file, partition_by="kind")
-    facts.append(m._relevant(df, book))
-    hot = m.Hot(settings)
-    hot.add(facts, book)
-    assert list(hot.of("transitive")[1]) == ["<hub>"]
+    facts, heat = FactStore(ws, settings, df.count()), Heat(ws, settings)
+    facts.start(m._relevant(df, book))
+    heat.add(facts, book)
+    left, right = heat.of("transitive")
+    key = key_of(spark, "<hub>")
+    # 100 x 50 pairs, 1,000 to a cell; the value is on no other rows that the rule reads.
+    assert list(left) == [key] and left[key] * right.get(key, 1) >= 5
+
+
+def test_grid():
+    settings = Settings(pairs_per_task=1000, cell_rows=100)
+    left, right = Counts({"both": 200, "left": 5000, "few": 10, "none": 9}, 0), Counts({"both": 50, "left": 1, "few": 10, "x": 7}, 0)
+    i, j = grid(left, right, settings)
+    assert set(i) == {"both", "left"} and set(j) == {"both"}
+    assert i["left"] == 50  # cells of 100 rows
+    assert 10 <= i["both"] * j["both"] <= 20 and i["both"] > j["both"]
+    # A value that is not listed may have as many rows as the last listed one.
+    assert grid(Counts({"a": 5000}, 5000), Counts({"b": 5000}, 5000), settings)[0].keys() == {"a", "b"}
+    assert grid(Counts({"a": 900}, 0), Counts({"a": 1}, 0), settings) == ({}, {})
+
+
+def test_skew_join_on_two_columns(spark):
+    """Only the rows of the hot pair of subject and property are spread and copied."""
+    left = spark.range(400).selectExpr("if(id % 4 = 0, 'x', 's' || id % 20) as s", "if(id % 8 = 0, 'p', 'q') as p", "id as o")
+    right = spark.range(60).selectExpr("if(id % 2 = 0, 'x', 's' || id % 20) as s", "if(id % 4 = 0, 'p', 'q') as p", "id as c")
+    plain = rows(left.join(right, ["s", "p"]))
+    key = key_of(spark, "x", "p")
+    spread = skew_join(left, right, ["s", "p"], ["s", "p"], {key: 3}, {key: 2})
+    assert rows(spread) == plain
+    made = []
+    for side, name in ((left, "_j"), (right, "_i")):
+        made.append(spread._jdf.queryExecution().optimizedPlan().toString().count(name))
+    assert all(made)
 
 
 def test_closure_finds_a_pair_of_a_chain_about_once(spark, monkeypatch):

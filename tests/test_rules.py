@@ -50,7 +50,8 @@ CASES = {
 }
 
 # The second setting forces shuffle joins, salting, and merging on every round.
-FORCED = Settings(broadcast_rows=0, filter_values=0, hot_share=0.02, salts=3, pairs_per_task=0, cell_rows=4, rows_per_file=5)
+FORCED = Settings(broadcast_rows=0, filter_values=0, hot_share=0.02, salts=3, pairs_per_task=3, cell_rows=4, rows_per_file=5, compose_rows=2, pair_block=2,
+                  merge_fanout=2)
 # The third keeps broadcasts but lists no predicate in a filter.
 SEMI = Settings(filter_values=0)
 

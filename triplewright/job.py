@@ -11,15 +11,16 @@ import time
 from pyspark.sql import SparkSession
 
 from .plans.materialize import materialize
-from .settings import session_conf
-from .sources.ntriples import read_triples
+from .plans.workspace import Workspace
+from .settings import Settings, session_conf
+from .sources.ntriples import stage_lines
 from .sources.sinks import write_result
 
 
 def run(spark: SparkSession, args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="triplewright")
     parser.add_argument("input", help="N-Triples file, folder or glob; or a Parquet table with --from parquet")
-    parser.add_argument("output", help="folder for new_instances, new_types and new_sameas")
+    parser.add_argument("output", help="folder for new_instances, new_types, new_sameas and run_report")
     parser.add_argument("--from", dest="source", choices=("ntriples", "parquet"), default="ntriples")
     parser.add_argument("--format", choices=("ntriples", "parquet"), default="ntriples")
     parser.add_argument("--sameas", choices=("links", "pairs"), default="links")
@@ -29,24 +30,26 @@ def run(spark: SparkSession, args: list[str] | None = None) -> None:
     parser.add_argument("--rejects", help="folder for lines that are not triples")
     options = parser.parse_args(args)
 
-    start, rejected = time.time(), 0
+    start, ws, rejected = time.time(), Workspace(spark), 0
     if options.source == "parquet":
-        result = materialize(spark.read.parquet(options.input))
+        triples = spark.read.parquet(options.input)
     else:
-        triples, rejects = read_triples(spark, options.input, options.lexical_only)
+        settings = Settings.of(spark)
+        triples, rejects = stage_lines(spark.read.text(options.input), ws, options.lexical_only, settings.rows_per_file)
+        rejected = rejects.count()
         if options.rejects:
             rejects.write.parquet(options.rejects)
-            rejects = spark.read.parquet(options.rejects)
-        rejected = rejects.count()
-        result = materialize(triples, stage=True)
+    result = materialize(triples, workspace=ws)
     counts = write_result(result, options.output, options.format, options.sameas, options.generalized, options.schema)
-    for row in result.metrics().collect():
-        print(f"{row.name}: {row.value}")
-    print(f"rejected_lines: {rejected}")
+    report = [(r.name, r.value) for r in result.metrics().collect()]  # one row for each name
+    report += [("rejected_lines", rejected), ("rounds", len(result.rounds))]
+    report += [(f"round_{n}", found) for n, found in enumerate(result.rounds, 1)]
     for name, (written, left_out) in counts.items():
-        print(f"{name} written: {written}, left out of N-Triples: {left_out}")
-    print(f"rounds: {result.rounds}")
-    print(f"minutes: {(time.time() - start) / 60:.2f}")
+        report += [(f"{name}_written", written), (f"{name}_left_out", left_out)]
+    report.append(("seconds", round(time.time() - start)))
+    spark.createDataFrame(report, "name string, value long").coalesce(1).write.parquet(f"{options.output}/run_report")
+    for name, value in report:
+        print(f"{name}: {value}")
 
 
 def main() -> None:

@@ -72,9 +72,15 @@ def expand_pairs(members: DataFrame, settings: Settings = Settings()) -> DataFra
     """All ordered pairs (x, y), x != y, of the members (node, rep) of each class.
 
     The output has n * (n - 1) rows for a class of n members. Ask for it only where that is wanted:
-    (node, rep) says the same in n rows. Large classes are spread over a grid of cells on both sides.
+    (node, rep) says the same in n rows. A class is cut by a hash of its nodes into blocks of about
+    ``settings.pair_block`` members, and a task gets pairs of blocks: whatever a class's size, none gets more of it at
+    once than the pairs of two blocks. Only large classes are copied, once for each of their blocks.
     """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count("*") / settings.pair_block).cast("int").alias("blocks"))
     hot = hot_values(members, "rep", settings)
-    left = members.select("rep", F.col("node").alias("x"))
-    right = members.select("rep", F.col("node").alias("y"))
-    return skew_join(left, right, ["rep"], "rep", hot, hot, settings.salts).where("x <> y").select("x", "y")
+    placed = skew_join(members, sizes, ["rep"], "rep", hot_left=hot, salts=settings.salts)
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = placed.select("rep", F.col("node").alias("x"), F.col("own").alias("i"), every.alias("j"))
+    right = placed.select("rep", F.col("node").alias("y"), F.col("own").alias("j"), every.alias("i"))
+    return left.join(right, ["rep", "i", "j"]).where("x <> y").select("x", "y")

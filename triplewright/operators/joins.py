@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
@@ -30,26 +33,62 @@ def hot_values(df: DataFrame, column: str, settings: Settings, rows: int | None
     return {k: max(settings.salts, -(-hot[k] // settings.cell_rows)) for k in sorted(hot)}
 
 
-def merged(*hot: dict[str, int]) -> dict[str, int]:
-    """The values of all, each with its largest number of cells."""
-    out: dict[str, int] = {}
-    for part in hot:
-        for value, cells in part.items():
-            out[value] = max(cells, out.get(value, 0))
-    return out
+@dataclass(frozen=True)
+class Counts:
+    """Rows of the most frequent values, by value or ``meeting_key``; any other value has at most ``rest``."""
+    listed: dict
+    rest: int
+
+    @classmethod
+    def of(cls, top: list[tuple], limit: int) -> "Counts":
+        """From the ``limit`` most frequent values, or all if there are fewer."""
+        listed = dict(top)
+        return cls(listed, min(listed.values()) if len(listed) >= limit else 0)
+
+    def get(self, value) -> int:
+        return self.listed.get(value, self.rest)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str, hot_left=(), hot_right=(),
+def grid(left: Counts, right: Counts, settings: Settings) -> tuple[dict, dict]:
+    """Cells for the values that give one task too many pairs, or too many rows of one side.
+
+    A value with l and r rows on the two sides gets i x j cells: enough for its pairs, and divided so that the
+    copies, l * j + r * i, are few. A value that occurs on one side only is left whole.
+    """
+    pairs, most = max(1, settings.pairs_per_task), 10 * settings.cell_rows
+    cells: tuple[dict, dict] = ({}, {})
+    for value in sorted({*left.listed, *right.listed}):
+        l, r = left.get(value), right.get(value)
+        if not l or not r or (l * r <= pairs and max(l, r) <= most):
+            continue
+        i, j = (-(-n // settings.cell_rows) if n > most else 1 for n in (l, r))
+        needed = -(-l * r // pairs)
+        if i * j < needed:
+            i = min(needed, max(i, round(math.sqrt(needed * l / r))))
+            j = max(j, -(-needed // i))
+        for side, n in zip(cells, (i, j)):
+            if n > 1:
+                side[value] = n
+    return cells
+
+
+def meeting_key(*columns: str) -> Column:
+    """One number for what rows meet on. Different values may by chance share one; they are then spread alike."""
+    return F.xxhash64(*columns)
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str | list[str], hot_left=(), hot_right=(),
               salts: int = 32, small: str | None = None) -> DataFrame:
     """Inner join on ``on`` with the rows of hot keys spread over a grid of cells.
 
     ``small`` names the side ("left" or "right") that the caller has measured to fit a broadcast; the other
     side is then not shuffled at all.
 
-    ``hot_left`` and ``hot_right`` map hot values to their cells, or list them to get ``salts`` each. A row
-    whose ``hot_on`` value is hot on its own side goes to one of the value's cells by a hash of the row; a
-    row whose value is hot on the other side is copied to each of that side's cells. All other rows keep a
-    single cell, and without hot values this is the plain join.
+    ``hot_left`` and ``hot_right`` map hot values of ``hot_on``, or as numbers their ``meeting_key``, to their cells,
+    or list them to get ``salts`` each. A row
+    whose value is hot on its own side goes to one of the value's cells by a hash of the row; a row whose value
+    is hot on the other side is copied to each of that side's cells. All other rows keep a single cell, and
+    without hot values this is the plain join.
     """
     if small == "left":
         return F.broadcast(left).join(right, on=on)
@@ -57,12 +96,14 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str, hot
         return left.join(F.broadcast(right), on=on)
     if not hot_left and not hot_right:
         return left.join(right, on=on)
+    columns = [hot_on] if isinstance(hot_on, str) else hot_on
+    value = meeting_key(*columns) if isinstance(next(iter([*hot_left, *hot_right])), int) else F.col(*columns)
 
     def cells(hot):
         hot = dict(hot) if isinstance(hot, dict) else dict.fromkeys(hot, salts)
         count = F.lit(1)
         for number in sorted(set(hot.values())):
-            count = F.when(F.col(hot_on).isin([k for k, n in hot.items() if n == number]), number).otherwise(count)
+            count = F.when(value.isin([k for k, n in hot.items() if n == number]), number).otherwise(count)
         return count
 
     def cell(df, count):

@@ -7,6 +7,8 @@ the caller removes those once for all rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from .sets import union_all
 
 TYPE = f"'{v.TYPE}'"
 
+#: Writes a frame to a table of its own and reads it back.
+Save = Callable[[DataFrame], DataFrame]
+
 
 def by_property(facts: DataFrame, table: DataFrame, small: bool, settings: Settings,
                 rows: int | None = None) -> DataFrame:
@@ -55,37 +60,57 @@ def of_keys(facts: DataFrame, column: str, keys: DataFrame, small: bool, setting
     return lookup_join(facts, keys.distinct(), [column], small, settings).select("s", "p", "o")
 
 
-def chain(left: DataFrame, right: DataFrame, hot_s=(), hot_o=(), salts: int = 32,
+def chain(left: DataFrame, right: DataFrame, hot_left=(), hot_right=(), salts: int = 32,
           side: str | None = None) -> DataFrame:
-    """Transitive step: x p y from ``left`` and y p z from ``right`` give x p z, x != z."""
+    """Transitive step: x p y from ``left`` and y p z from ``right`` give x p z, x != z.
+
+    ``hot_left`` and ``hot_right`` are the cells of the hot values of y on the two sides.
+    """
     left, right = (df.selectExpr("s as src", "p", "o as dst") for df in (left, right))
-    step = compose(left, right, ["p"], hot_o, hot_s, salts, side)
+    step = compose(left, right, ["p"], hot_left, hot_right, salts, side)
     return step.selectExpr("src as s", "p", "dst as o")
 
 
+def of_fillers(types: DataFrame, table: DataFrame, small: bool, settings: Settings) -> DataFrame:
+    """The types whose class is a filler in use; all of them where the rule rows are many."""
+    return of_keys(types, "o", table.select("k2"), small, settings) if small else types
+
+
 def some_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
-                hot_s=(), hot_o=(), side: str | None = None) -> DataFrame:
+                hot_left=(), hot_right=(), side: str | None = None, save: Save | None = None) -> DataFrame:
     """u p x, x type filler, cls some(filler) on p: u type cls. ``triples`` are those of the properties in use.
 
     The types are first cut to the fillers in use. The restriction is looked up after the join, so a
-    property with many restrictions does not multiply the triples that are shuffled.
+    property with many restrictions does not multiply the triples that are shuffled. Many restrictions cannot be
+    broadcast, and the rows that met are looked at for hot keys; ``save`` then writes them, so that triples and types
+    are joined once.
     """
-    if small:
-        types = of_keys(types, "o", table.select("k2"), small, settings)
     members = triples.selectExpr("s as u", "p", "o as x")
-    fillers = types.selectExpr("s as x", "o as filler")
-    met = skew_join(members, fillers, ["x"], "x", hot_o, hot_s, settings.salts, side)
+    fillers = of_fillers(types, table, small, settings).selectExpr("s as x", "o as filler")
+    met = skew_join(members, fillers, ["x"], "x", hot_left, hot_right, settings.salts, side)
+    if save and not small:
+        met = save(met)
     keyed = table.selectExpr("k1 as p", "k2 as filler", "ho as cls")
     return lookup_join(met, keyed, ["p", "filler"], small, settings).selectExpr(
         "u as s", f"{TYPE} as p", "cls as o")
 
 
-def all_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
-               hot_s=(), side: str | None = None) -> DataFrame:
-    """u type cls, cls all(filler) on p, u p x: x type filler. ``triples`` are those of the properties in use."""
+def bound_types(types: DataFrame, table: DataFrame, small: bool, settings: Settings) -> DataFrame:
+    """(s, p, filler): what each member of a class with an allValuesFrom restriction demands of the values of p."""
     keyed = table.selectExpr("k1 as o", "k2 as p", "ho as filler")
-    bound = lookup_join(types.select("s", "o"), keyed, ["o"], small, settings).select("s", "p", "filler")
-    met = skew_join(triples.select("s", "p", "o"), bound, ["s", "p"], "s", hot_s, hot_s, settings.salts, side)
+    return lookup_join(types.select("s", "o"), keyed, ["o"], small, settings).select("s", "p", "filler")
+
+
+def all_values(triples: DataFrame, types: DataFrame, table: DataFrame, small: bool, settings: Settings,
+               hot_left=(), hot_right=(), side: str | None = None) -> DataFrame:
+    """u type cls, cls all(filler) on p, u p x: x type filler. ``triples`` are those of the properties in use.
+
+    Heat is that of subject and property together: a subject with many values of one property is spread in the
+    rows of this property only.
+    """
+    bound = bound_types(types, table, small, settings)
+    met = skew_join(triples.select("s", "p", "o"), bound, ["s", "p"], ["s", "p"], hot_left, hot_right, settings.salts,
+                    side)
     return met.selectExpr("o as s", f"{TYPE} as p", "filler as o")
 
 

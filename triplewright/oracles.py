@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import vocab as v
-from .queries import CLASS_PARTS, PROPERTY_PARTS, SAME_PARTS
+from .queries import CLASS_PARTS, JOB_PARTS, PROPERTY_PARTS, SAME_PARTS
 from .sources.lift import FACTS, PARTS, parts_sql
 
 CLASS_EDGES = (*CLASS_PARTS, "orders_rush")
@@ -125,13 +125,44 @@ union all select s, '<urn:node>', '_:d' || doc_id from d
 union all select s, '<urn:node>', '_:d.' || doc_id || '.x' from d"""
 
 
+REJECTS = r"""select value, case when regexp_matches(value, '^\s*(<[^<>\s]*>|_:[^\s<>"]+)') then 'no predicate'
+  else 'no subject' end as reason
+from (select unnest(string_split(text, chr(10))) as value from conversations)
+where not regexp_matches(value, '^\s*(#|$)')"""
+
+# What the rules find in JOB_PARTS: paths of two steps, the inverse of placedBy, its ends' types, and for the type
+# of each part the two classes that are equal to it.
+JOB = f"""located as (select distinct s, o from ({parts_sql(("nation_region", "customer_nation", "supplier_nation"))})),
+job_instances as (
+  select count(*) as n from (select a.s, b.o from located a join located b on a.o = b.s where a.s <> b.o
+    except select s, o from located)
+  union all select count(*) from (select distinct s, o from ({PARTS["placed_by"]}))),
+job_types as (
+  select count(distinct s) as n from ({PARTS["placed_by"]}) union all select count(distinct o) from ({PARTS["placed_by"]})
+  union all select 2 * count(distinct s) from ({PARTS["part_type"]})),
+job_links as (select count(*) as n from (select distinct s, o from ({PARTS["labelled"]}))),
+job_classes as (select 4 * count(*) as n from (select distinct s, o from ({PARTS["item_sku"]}))),
+job_sizes as (select (select sum(n) from job_instances) as instances, (select sum(n) from job_types) as types,
+  (select n from job_links) as links, (select n from job_classes) as classes)"""
+
+JOB_REPORT = _with(JOB) + f"""select name, cast(value as bigint) as value from (
+select 'input_triples' as name, count(*) as value from ({parts_sql(JOB_PARTS)})
+union all select 'input_types', count(*) from ({parts_sql(JOB_PARTS)}) where p = '{v.TYPE}'
+union all select 'rejected_lines', count(*) from ({REJECTS})
+union all select unnest(['new_instances', 'new_instances_written']), instances from job_sizes
+union all select unnest(['new_types', 'new_types_written']), types from job_sizes
+union all select unnest(['new_sameas_pairs', 'new_sameas_written']), links from job_sizes
+union all select 'largest_sameas_class', case when links > 0 then 2 else 0 end from job_sizes
+union all select unnest(['new_subclasses', 'new_equivalent_classes', 'new_schema_written']), classes from job_sizes
+union all select 'round_1', instances + types from job_sizes
+union all select 'rounds', 2
+union all select unnest(['round_2', 'new_subproperties', 'new_equivalent_properties', 'new_instances_left_out',
+  'new_types_left_out', 'new_sameas_left_out', 'new_schema_left_out']), 0)"""
+
 ORACLES = {
     "parse_roundtrip": f"""{parts_sql(("placed_by", "priority", "content_hash"))}
 union all select '<urn:doc/' || cast(doc_id as varchar) || '>', '<urn:text>', '"' || {_escaped} || '"' from documents""",
-    "parse_rejects": r"""select value, case when regexp_matches(value, '^\s*(<[^<>\s]*>|_:[^\s<>"]+)') then 'no predicate'
-  else 'no subject' end as reason
-from (select unnest(string_split(text, chr(10))) as value from conversations)
-where not regexp_matches(value, '^\s*(#|$)')""",
+    "parse_rejects": REJECTS,
     "roundtrip_results": f"""{_with(SAME)}
 select o as s, '<urn:placed>' as p, s as o from ({PARTS["placed_by"]})
 union select s, '{v.TYPE}', '<urn:Order>' from ({PARTS["placed_by"]})
@@ -141,6 +172,9 @@ union (select node, '{v.SAME_AS}', rep from same_classes where node <> rep
 union select '<urn:name/' || r_regionkey || '>', '{v.SAME_AS}', '"' || unnest([r_name, lower(r_name)]) || '"' from region""",
     "parse_terms": _terms(""" || '"@' || coalesce(lang, 'en')""", """ || '"^^<urn:int>'"""),
     "parse_lexical": _terms(""" || '"'""", """ || '"'"""),
+    "staged_terms": _terms(""" || '"@' || coalesce(lang, 'en')""", """ || '"^^<urn:int>'"""),
+    "staged_rejects": REJECTS,
+    "job_report": JOB_REPORT,
     "new_schema": _with(CLASSES) + f"""select src as s, '{v.SUBCLASS_OF}' as p, dst as o from sub
 where not exists (select 1 from sub_axioms x where x.p = '{v.SUBCLASS_OF}' and x.s = src and x.o = dst)""",
     "type_rows": f"select s, o as cls from ({parts_sql(PARTS)}) where p = '{v.TYPE}'",
@@ -181,6 +215,8 @@ from ({PARTS["part_type"]}) t join sub c on t.o = c.src""",
     "inverse_functional_sameas": _links("content_hash", "o", "s"),
     "sameas_closure": _with(SAME) + "select node, rep from same_classes",
     "sameas_counts": _with(SAME) + f"select classes, members, largest, pairs, new_pairs from {SAME_COUNTS}",
+    "sameas_pairs": _with(SAME) + f"""select a.node as x, b.node as y
+from same_classes a join same_classes b on a.rep = b.rep and a.node <> b.node except select x, y from {SAME_STATED}""",
     "new_instances": _with(FIXPOINT) + NEW_INSTANCES,
     "new_types": _with(FIXPOINT) + NEW_TYPES,
     "new_sameas": _with(SAME) + f"select node as x, rep as y from same_classes where node <> rep except select x, y from {SAME_STATED}",
@@ -194,6 +230,9 @@ union all select 'new_instances', count(*) from ({NEW_INSTANCES})
 union all select 'new_types', count(*) from ({NEW_TYPES})
 union all select 'new_sameas_pairs', new_pairs from {SAME_COUNTS}
 union all select 'largest_sameas_class', largest from {SAME_COUNTS}""",
+    "round_rows": _with(JOB) + """select cast(round as integer) as round, kind, cast(n as bigint) as rows from (
+select 1 as round, 'instance' as kind, instances as n from job_sizes union all select 1, 'type', types from job_sizes
+union all select 1, 'sameas', 0 union all select 2, unnest(['instance', 'type', 'sameas']), 0)""",
     "union_triples": parts_sql(("placed_by", "priority", "contains")),
     "difference_triples": f"""select s, o from ({PARTS["contains"]}) except
 select '<urn:order/' || cast(l_orderkey as varchar) || '>', '<urn:part/' || cast(l_partkey as varchar) || '>'

@@ -50,13 +50,10 @@ def hierarchy(triples: DataFrame, sub: str, equivalent: str) -> DataFrame:
     return edges.toDF("src", "dst").distinct()
 
 
-def new_equivalents(closure: DataFrame, stated: DataFrame) -> DataFrame:
-    """Pairs (s, o) below each other in the closure (src, dst) and not stated either way."""
-    down = closure.select(F.col("src").alias("s"), F.col("dst").alias("o"))
-    up = closure.select(F.col("dst").alias("s"), F.col("src").alias("o"))
-    mutual = down.join(up, on=["s", "o"], how="left_semi").distinct()
+def new_equivalents(equal: DataFrame, stated: DataFrame) -> DataFrame:
+    """The pairs (s, o) of equivalent nodes (src, dst) that are not stated either way."""
     known = stated.union(stated.select("o", "s"))
-    return mutual.join(known, on=["s", "o"], how="left_anti")
+    return equal.select(F.col("src").alias("s"), F.col("dst").alias("o")).join(known, on=["s", "o"], how="left_anti")
 
 
 def restrictions(triples: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ Rule rows (rule, k1, k2, place, hp, ho, closed):
     place: keep -> s hp o, swap -> o hp s, subject -> s hp ho, object -> o hp ho
 
 ``closed`` marks heads u type c whose own class rows are also rows of this key, so they need no second look.
+The rows of a class with very many consequences are not repeated under the very many keys that lead to it: how many
+that would be is counted first, and beyond a limit the head stays open and takes the class's rows in the next round.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as v
-from ..operators.closure import transitive_closure
+from ..operators.hierarchy import Hierarchy, close_hierarchy
 from ..operators.sets import union_all
 from ..settings import Settings
 from .axioms import hierarchy, inverse_pairs, property_set, restrictions
@@ -98,6 +100,7 @@ class Rulebook:
     table: DataFrame                    # rule rows
     subclass: DataFrame                 # (src, dst), closed
     subproperty: DataFrame              # (src, dst), closed
+    hierarchy: Hierarchy                # of both, by kind; has the equivalent ones as classes
     counts: dict[str, int] = field(default_factory=dict)     # rule -> rows, for non-empty rules
     small: dict[str, bool] = field(default_factory=dict)     # rule -> broadcast, for non-empty rules
     reads: dict[str, list[str]] | None = None                # rule -> predicates it reads; None if too many
@@ -117,8 +120,8 @@ class Rulebook:
         return self.table.where(f"rule = '{rule}'").drop("rule")
 
 
-def close_schema(ws: Workspace, axioms: DataFrame, settings: Settings) -> DataFrame:
-    """One closure over three tagged graphs: (kind, src, dst).
+def close_schema(ws: Workspace, axioms: DataFrame, settings: Settings) -> Hierarchy:
+    """One closure over three tagged graphs, by kind.
 
     ``class`` and ``property`` are the two hierarchies. ``move`` has two nodes for each property, +p for
     s p o and -p for the same triple with its ends exchanged, so that a path from +p to +q or -q is a
@@ -136,24 +139,17 @@ def close_schema(ws: Workspace, axioms: DataFrame, settings: Settings) -> DataFr
         properties.selectExpr("'property' as kind", "src", "dst"),
         moves.selectExpr("'move' as kind", "side.a || p as src", "side.b || q as dst"),
     ])
-    return transitive_closure(ws, edges, by=["kind"], settings=settings)
+    return close_hierarchy(ws, edges, ["kind"], settings)
 
 
 def compile_rules(ws: Workspace, axioms: DataFrame, settings: Settings = Settings()) -> Rulebook:
-    closed = close_schema(ws, axioms, settings)
+    schema = close_schema(ws, axioms, settings)
+    closed = ws.save(schema.pairs(), ws.unique("schema"), partition_by="kind")
     subclass = closed.where("kind = 'class'").select("src", "dst")
     subproperty = closed.where("kind = 'property'").select("src", "dst")
     restriction = restrictions(axioms)
     has_value = restriction.where("kind = 'hasValue'")
 
-    below = has_value.selectExpr("cls as dst", "prop", "filler").join(subclass, on="dst")
-    class_part = union_all([
-        class_types(subclass.toDF("cls", "sup")),
-        class_values(has_value),
-        class_values(below.withColumnRenamed("src", "cls")),
-    ])
-    heads_of_class = class_part.selectExpr("k1 as cls", "hp", "ho", "closed")
-
     moves = closed.where("kind = 'move' and src like '+%'").selectExpr(
         "substring(src, 2) as p", "substring(dst, 2) as q", "if(dst like '+%', 'keep', 'swap') as place")
     ends = axioms.where(f"p in ('{v.DOMAIN}', '{v.RANGE}')").selectExpr(
@@ -161,14 +157,30 @@ def compile_rules(ws: Workspace, axioms: DataFrame, settings: Settings = Setting
     stays = ends.selectExpr("q as p", "q", "'keep' as place").distinct()
     end = "if(place = 'keep', end, if(end = 'subject', 'object', 'subject')) as place"
     typed = moves.union(stays).join(ends, on="q").selectExpr("p", end, "cls").distinct()
+
+    # Classes whose values would be repeated under too many subclasses, or all whose rows under too many properties
+    # and values that imply them. Mostly there are none.
+    values_stay, rows_stay = _left_uncomposed(ws, subclass, has_value, typed, settings)
+
+    values = has_value.selectExpr("cls as dst", "prop", "filler")
+    if values_stay is not None:
+        values = values.join(values_stay.toDF("dst"), "dst", "left_anti")
+    class_part = union_all([
+        _opened(class_types(subclass.toDF("cls", "sup")), values_stay),
+        class_values(has_value),
+        class_values(values.join(subclass, on="dst").withColumnRenamed("src", "cls")),
+    ])
+    heads_of_class = class_part.selectExpr("k1 as cls", "hp", "ho", "closed")
+    if rows_stay is not None:
+        heads_of_class = heads_of_class.join(rows_stay, "cls", "left_anti")
     property_part = union_all([
         rows(moves, "property", "p", place="place", hp="q", closed="false"),
-        rows(typed, "property", "p", place="place", hp=TYPE, ho="cls", closed="true"),
+        _opened(rows(typed, "property", "p", place="place", hp=TYPE, ho="cls", closed="true"), rows_stay),
         rows(typed.join(heads_of_class, on="cls"), "property", "p", place="place", hp="hp", ho="ho",
              closed="closed"),
     ])
     value_part = union_all([
-        value_types(has_value),
+        _opened(value_types(has_value), rows_stay),
         rows(has_value.join(heads_of_class, on="cls"), "value", "prop", "filler", hp="hp", ho="ho",
              closed="closed"),
     ])
@@ -183,11 +195,47 @@ def compile_rules(ws: Workspace, axioms: DataFrame, settings: Settings = Setting
         union_all([property_part, class_part, value_part, rest])
         .groupBy("rule", "k1", "k2", "place", "hp", "ho").agg(F.max("closed").alias("closed"))
     )
-    book = Rulebook(ws.save(table, ws.unique("rules"), partition_by="rule"), subclass, subproperty)
+    book = Rulebook(ws.save(table, ws.unique("rules"), partition_by="rule"), subclass, subproperty, schema)
     _measure(ws, book, settings)
     return book
 
 
+def _opened(table: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rule rows with the heads of ``classes`` (cls) not closed."""
+    if classes is None:
+        return table
+    marked = classes.select(F.col("cls").alias("ho"), F.lit(True).alias("open"))
+    return table.join(marked, "ho", "left").withColumn("closed", F.col("closed") & F.col("open").isNull()).select(
+        "rule", "k1", "k2", "place", "hp", "ho", "closed")
+
+
+def _left_uncomposed(ws: Workspace, subclass: DataFrame, has_value: DataFrame, typed: DataFrame,
+                     settings: Settings) -> tuple[DataFrame | None, DataFrame | None]:
+    """The classes (cls) whose values, and those whose rows, make too many rows where they would be repeated.
+
+    The products are of counts by class, so nothing is joined to find that a join would be too large. Only classes
+    with values, domains or ranges are counted.
+    """
+    asked = has_value.select("cls", F.lit(1).alias("value")).unionByName(typed.select("cls", F.lit(0).alias("value")))
+    asked = ws.save(asked.groupBy("cls").agg(F.sum("value").alias("valued"), F.count("*").alias("implied")),
+                    ws.unique("implying"))
+    # Of its superclasses a class takes the types, and their values, at most all there are.
+    below = subclass.selectExpr("dst as cls").join(asked.where("valued > 0"), "cls", "left_semi").groupBy("cls").agg(
+        F.count("*").alias("below"))
+    above = (
+        subclass.toDF("cls", "sup").join(asked.select("cls"), "cls", "left_semi")
+        .join(asked.select(F.col("cls").alias("sup"), "valued"), "sup", "left")
+        .groupBy("cls").agg(F.sum(1 + F.coalesce("valued", F.lit(0))).alias("above")))
+    limit = settings.compose_rows
+    large = ws.save(asked.join(below, "cls", "left").join(above, "cls", "left").selectExpr(
+        "cls", f"valued * coalesce(below, 0) > {limit} as values_stay",
+        f"implied * (valued + coalesce(above, 0)) > {limit} as rows_stay").where("values_stay or rows_stay"),
+        ws.unique("uncomposed"))
+    if large.isEmpty():
+        return None, None
+    return large.where("values_stay").select("cls"), large.where("rows_stay").select("cls")
+
+
 def _measure(ws: Workspace, book: Rulebook, settings: Settings) -> None:
     """Sizes of the rule tables, and which predicates and classes they touch, in one job.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, StructType
@@ -35,17 +35,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Writes inside leave no shuffle files behind: once a table is written, nothing reads them again."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def session_values(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside only."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
-        else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Writes inside leave no shuffle files behind: once a table is written, nothing reads them again."""
+    return session_values(spark, {SHUFFLE_CLEANUP: "true"})
 
 
 class Workspace:
@@ -87,20 +94,18 @@ class Workspace:
         finally:
             self._delete(step.root)
 
-    def rounds(self, name: str, schema: StructType, rows_per_file: int, partition_by: str | None = None) -> "Rounds":
-        return Rounds(self, name, schema, rows_per_file, partition_by)
+    def rounds(self, name: str, schema: StructType, rows_per_file: int) -> "Rounds":
+        return Rounds(self, name, schema, rows_per_file)
 
 
 class Rounds:
     """A table that grows by one ``round=n`` folder per iteration of a loop."""
 
-    def __init__(self, workspace: Workspace, name: str, schema: StructType, rows_per_file: int,
-                 partition_by: str | None):
+    def __init__(self, workspace: Workspace, name: str, schema: StructType, rows_per_file: int):
         self.workspace = workspace
         self.path = f"{workspace.root}/{workspace.unique(name)}"
         self.schema = StructType(list(schema.fields)).add("round", IntegerType())
         self.rows_per_file = rows_per_file
-        self.partition_by = partition_by
         self.counts: list[int] = []
 
     @property
@@ -108,28 +113,15 @@ class Rounds:
         return len(self.counts) - 1
 
     def append(self, df: DataFrame) -> int:
-        """Write the next round and return its row count, read from the written files.
-
-        Facts are sorted by predicate inside each task's files, without a shuffle, so that a scan for a few
-        predicates skips the other row groups.
-        """
+        """Write the next round and return its row count, read from the written files."""
         number = len(self.counts)
-        if "p" in df.columns:
-            df = df.sortWithinPartitions(*([self.partition_by] if self.partition_by else []), "p")
-        writer = df.write.mode("errorifexists").option("maxRecordsPerFile", self.rows_per_file)
-        if self.partition_by:
-            writer = writer.partitionBy(self.partition_by)
         with shuffles_freed(self.workspace.spark):
-            writer.parquet(f"{self.path}/round={number}")
+            (df.write.mode("errorifexists").option("maxRecordsPerFile", self.rows_per_file)
+             .parquet(f"{self.path}/round={number}"))
         self.counts.append(-1)
         self.counts[number] = self.read(number, number).count()
         return self.counts[number]
 
-    def close(self) -> int:
-        """End with an empty round, without writing one."""
-        self.counts.append(0)
-        return 0
-
     def read(self, first: int = 0, last: int | None = None) -> DataFrame:
         """Rounds ``first`` to ``last``, both included, as one scan."""
         last = self.last if last is None else last

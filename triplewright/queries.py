@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import job
 from . import vocab as v
 from .functions import terms
 from .operators import rules, sameas, sets
 from .operators.closure import transitive_closure
+from .operators.hierarchy import Hierarchy, close_hierarchy
 from .plans import axioms as ax
 from .plans import rulebook as rb
 from .plans.materialize import Result, materialize
 from .plans.workspace import Workspace
 from .settings import Settings
 from .sources.lift import lift
-from .sources.ntriples import read_triples, reject_lines
-from .sources.sinks import to_lines, write_result
+from .sources.ntriples import read_triples, reject_lines, stage_lines
+from .sources.sinks import schema_triples, to_lines, write_result
 
 CLASS_PARTS = ("item_model", "model_line", "line_type", "line_brand", "type_product", "brand_product",
                "item_sku", "sku_code", "code_sku")
 PROPERTY_PARTS = ("supplied_nation", "supplied_any", "supplied_related", "contains_related", "via_route",
                   "route_lane", "lane_route")
+# Chains of two locatedIn, so that the rules need one round and a second one to see that it was the last.
+JOB_PARTS = ("nation_region", "customer_nation", "supplier_nation", "located_transitive", "placed_by", "placed_inverse",
+             "placed_domain", "placed_range", "part_type", "item_sku", "sku_code", "code_sku", "labelled")
 BRAND_PARTS = ("brand_on", "brand_value", "line_brand")
 
 
@@ -97,11 +102,12 @@ def parse_lexical(spark, folder):
 
 
 def new_schema(spark, folder):
-    """The folder of closed hierarchies of a run, written as text and read back."""
-    result = materialize(lift(spark, folder, CLASS_PARTS))
-    path = f"{result.workspace.root}/output"
-    write_result(result, path, schema=True)
-    return read_triples(spark, f"{path}/new_schema")[0]
+    """The closed hierarchies beyond what is stated, written as text and read back."""
+    ws = Workspace(spark)
+    stated = _axioms(spark, folder, CLASS_PARTS)
+    book = rb.compile_rules(ws, stated, Settings.of(spark))
+    to_lines(schema_triples(book, stated)).write.text(f"{ws.root}/new_schema")
+    return read_triples(spark, f"{ws.root}/new_schema")[0]
 
 
 def roundtrip_results(spark, folder):
@@ -119,6 +125,27 @@ def roundtrip_results(spark, folder):
     return triples
 
 
+def staged_terms(spark, folder):
+    """The triples of the lines with every kind of term, from the one pass that also writes the rejects."""
+    return stage_lines(spark.read.text(_term_lines(spark, folder)), Workspace(spark))[0]
+
+
+def staged_rejects(spark, folder):
+    """The rejects of that pass over lines of conversations among lines of triples."""
+    lines = _table(spark, folder, "conversations").select(F.explode(F.split("text", "\n")).alias("value"))
+    return stage_lines(lines.unionByName(to_lines(lift(spark, folder, ("placed_by",)))), Workspace(spark))[1]
+
+
+def job_report(spark, folder):
+    """What the command-line job reports of a run over text, but for the seconds."""
+    ws = Workspace(spark)
+    lines = to_lines(lift(spark, folder, JOB_PARTS)).unionByName(
+        _table(spark, folder, "conversations").select(F.explode(F.split("text", "\n")).alias("value")))
+    lines.write.text(f"{ws.root}/lines")
+    job.run(spark, [f"{ws.root}/lines", f"{ws.root}/output", "--schema"])
+    return spark.read.parquet(f"{ws.root}/output/run_report").where("name <> 'seconds'")
+
+
 # Axioms
 
 def axiom_pairs(spark, folder):
@@ -131,37 +158,38 @@ def axiom_pairs(spark, folder):
 
 
 def inverse_index(spark, folder):
-    return ax.inverse_pairs(_axioms(spark, folder))
+    return ax.inverse_pairs(_axioms(spark, folder, ("placed_inverse", "supplies_inverse")))
 
 
 def restriction_index(spark, folder):
-    return ax.restrictions(_axioms(spark, folder))
+    return ax.restrictions(_axioms(spark, folder, (
+        "priority_on", "priority_value", "brand_on", "brand_value", "type_on", "type_some", "rush_on", "rush_all")))
 
 
 # Hierarchies
 
-def _hierarchy(spark, folder, parts, sub, equivalent):
+def _hierarchy(spark, folder, parts, sub, equivalent) -> tuple[DataFrame, Hierarchy]:
     triples = _axioms(spark, folder, parts)
     edges = ax.hierarchy(triples, sub, equivalent)
-    return triples, transitive_closure(Workspace(spark), edges, settings=Settings.of(spark))
+    return triples, close_hierarchy(Workspace(spark), edges, settings=Settings.of(spark))
 
 
 def subclass_closure(spark, folder):
-    return _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)[1].toDF("s", "o")
+    return _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)[1].pairs().toDF("s", "o")
 
 
 def subproperty_closure(spark, folder):
-    return _hierarchy(spark, folder, PROPERTY_PARTS, v.SUBPROPERTY_OF, v.EQUIVALENT_PROPERTY)[1].toDF("s", "o")
+    return _hierarchy(spark, folder, PROPERTY_PARTS, v.SUBPROPERTY_OF, v.EQUIVALENT_PROPERTY)[1].pairs().toDF("s", "o")
 
 
 def equivalent_classes(spark, folder):
     triples, closed = _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)
-    return ax.new_equivalents(closed, ax.axiom(triples, v.EQUIVALENT_CLASS))
+    return ax.new_equivalents(closed.equivalents(), ax.axiom(triples, v.EQUIVALENT_CLASS))
 
 
 def equivalent_properties(spark, folder):
     triples, closed = _hierarchy(spark, folder, PROPERTY_PARTS, v.SUBPROPERTY_OF, v.EQUIVALENT_PROPERTY)
-    return ax.new_equivalents(closed, ax.axiom(triples, v.EQUIVALENT_PROPERTY))
+    return ax.new_equivalents(closed.equivalents(), ax.axiom(triples, v.EQUIVALENT_PROPERTY))
 
 
 # Instance rules
@@ -172,7 +200,7 @@ def _property_rule(spark, folder, facts, table):
 
 
 def subproperty_inherit(spark, folder):
-    closed = _hierarchy(spark, folder, PROPERTY_PARTS, v.SUBPROPERTY_OF, v.EQUIVALENT_PROPERTY)[1]
+    closed = _hierarchy(spark, folder, PROPERTY_PARTS, v.SUBPROPERTY_OF, v.EQUIVALENT_PROPERTY)[1].pairs()
     return _property_rule(spark, folder, ("contains", "supplied"), rb.property_moves(closed.toDF("p", "q"), "keep"))
 
 
@@ -207,7 +235,7 @@ def has_value_triple(spark, folder):
     settings = Settings.of(spark)
     schema = _axioms(spark, folder, ("item_model", "model_line", *BRAND_PARTS))
     edges = ax.hierarchy(schema, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)
-    closed = transitive_closure(Workspace(spark), edges, settings=settings)
+    closed = close_hierarchy(Workspace(spark), edges, settings=settings).pairs()
     below = rb.class_types(closed.toDF("cls", "sup"))
     types = rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(below), settings)
     values = rb.class_values(ax.restrictions(schema).where("kind = 'hasValue'"))
@@ -225,7 +253,7 @@ def some_values(spark, folder):
     settings = Settings.of(spark)
     schema = _axioms(spark, folder, (*CLASS_PARTS, "type_on", "type_some"))
     edges = ax.hierarchy(schema, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)
-    closed = transitive_closure(Workspace(spark), edges, settings=settings)
+    closed = close_hierarchy(Workspace(spark), edges, settings=settings).pairs()
     below = rb.class_types(closed.toDF("cls", "sup"))
     types = rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(below), settings)
     table, small = _ruled(rb.some_rows(ax.restrictions(schema)))
@@ -257,7 +285,7 @@ def range_types(spark, folder):
 
 
 def subclass_types(spark, folder):
-    closed = _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)[1]
+    closed = _hierarchy(spark, folder, CLASS_PARTS, v.SUBCLASS_OF, v.EQUIVALENT_CLASS)[1].pairs()
     table = rb.class_types(closed.toDF("cls", "sup"))
     return _spo(rules.by_class(lift(spark, folder, ("part_type",)), *_ruled(table), Settings.of(spark)))
 
@@ -307,6 +335,11 @@ def sameas_counts(spark, folder):
     return sameas.pair_counts(*_same(spark, folder))
 
 
+def sameas_pairs(spark, folder):
+    """Every ordered pair of equal nodes that is not stated."""
+    return sameas.new_pairs(*_same(spark, folder), Settings.of(spark))
+
+
 # The whole fixpoint
 
 def _run(spark, folder) -> Result:
@@ -329,6 +362,11 @@ def run_report(spark, folder):
     return _run(spark, folder).metrics()
 
 
+def round_rows(spark, folder):
+    """What each round found, of a run that needs two."""
+    return materialize(lift(spark, folder, JOB_PARTS), stage=True).round_rows()
+
+
 # Set operators, grouping and counting
 
 def union_triples(spark, folder):
@@ -366,12 +404,12 @@ def sameas_rows(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    parse_roundtrip, parse_rejects, parse_terms, parse_lexical, roundtrip_results, new_schema, type_rows, sameas_rows,
+    parse_roundtrip, parse_rejects, parse_terms, parse_lexical, staged_terms, staged_rejects, job_report, roundtrip_results, new_schema, type_rows, sameas_rows,
     axiom_pairs, inverse_index, restriction_index,
     subclass_closure, subproperty_closure, equivalent_classes, equivalent_properties,
     subproperty_inherit, inverse_fwd, inverse_bwd, symmetric, transitive_located, has_value_triple,
     has_value_type, some_values, all_values, domain_types, range_types, subclass_types,
-    functional_sameas, inverse_functional_sameas, sameas_closure, sameas_counts,
-    new_instances, new_types, new_sameas, run_report,
+    functional_sameas, inverse_functional_sameas, sameas_closure, sameas_counts, sameas_pairs,
+    new_instances, new_types, new_sameas, run_report, round_rows,
     union_triples, difference_triples, distinct_triples, group_values, count_by_predicate,
 )}

@@ -20,13 +20,21 @@ class Settings:
     lookup_rows: int = 10_000
     # Files of a round are cut at this many rows, so that the next round can split the work evenly.
     rows_per_file: int = 4_000_000
+    # Known facts are kept in buckets of about this many rows, sorted.
+    bucket_rows: int = 4_000_000
+    # As many rounds of about one size, in rows, are merged into one table.
+    merge_fanout: int = 4
+    # Consequences of a class are written into the rules that lead to it while that makes no more rows than this.
+    compose_rows: int = 1_000_000
+    # Pairs of a class of equal nodes are formed from blocks of about this many nodes.
+    pair_block: int = 2_000
     # A join key holding more than this share of the rows that a join reads is spread over cells of about
     # `cell_rows` of its rows, and over `salts` cells at least.
     hot_share: float = 0.01
     salts: int = 32
     cell_rows: int = 100_000
-    # No key is looked for while even one that holds half of the rows on each side would give one task no more
-    # pairs than this.
+    # A key is spread so that no cell gives more pairs than this, and none is looked for while even one that
+    # holds half of the rows on each side would give no more.
     pairs_per_task: int = 25_000_000
 
     @classmethod

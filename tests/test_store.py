@@ -59,6 +59,7 @@ def test_known_facts_are_not_exchanged_in_a_large_round(spark):
     """One exchange, that of the candidates, and sorts of nothing else; one file for each bucket."""
     store = FactStore(Workspace(spark), Settings(broadcast_rows=0, merge_fanout=10), 1)
     store.start(facts_of(spark, 0, 5000))
+    assert store.kinds[0].open == 5000
     for n in range(1, 4):
         store.add(facts_of(spark, 4000 * n, 4000 * n + 3000))
     auto = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": str(store.buckets)}

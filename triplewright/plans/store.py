@@ -31,10 +31,11 @@ AS_WRITTEN = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 @dataclass(frozen=True)
 class Kinds:
-    """Facts of one round, by what they say."""
+    """Facts of one round, by what they say. ``open`` ones have consequences that are not worked out yet."""
     rows: int
     types: int
     sameas: int
+    open: int
 
 
 @dataclass(frozen=True)
@@ -113,16 +114,16 @@ class FactStore:
     def add(self, candidates: DataFrame, narrow: Callable[[DataFrame], DataFrame] = lambda known: known) -> int:
         """Write the candidates (s, p, o, property_done, class_done) that are not known as the next round.
 
-        ``narrow`` may leave out known facts that no candidate can be. After a large round, candidates go straight
-        into their buckets and past the known facts. After a small one they are few as a rule: they are written
-        and measured first, and if they fit a broadcast the known facts are only scanned for them.
+        ``narrow`` may leave out known facts that no candidate can be. After a round with many open facts, candidates
+        go straight into their buckets and past the known facts. After another one they are few as a rule: they are
+        written and measured first, and if they fit a broadcast the known facts are only scanned for them.
         """
         number = len(self.counts)
         if self.newest is not self.base:
             self.levels.append(self.newest)
         self.newest = None
         fresh, held = distinct_facts(candidates), None
-        if self.counts[-1] <= self.settings.broadcast_rows:
+        if self.kinds[-1].open <= self.settings.broadcast_rows:
             held = self.workspace.unique("candidates")
             fresh = self.workspace.save(fresh, held)
             rows, small = self._measured(fresh)
@@ -139,11 +140,13 @@ class FactStore:
         return self._count()
 
     def _count(self) -> int:
-        """Note what the newest round has. Its predicates are read for this, the other columns are not."""
-        found = Kinds(0, 0, 0)
+        """Note what the newest round has. Subjects and objects are not read for this."""
+        found = Kinds(0, 0, 0, 0)
         if self.newest and self.newest.rows:
-            found = Kinds(*self.newest.df.agg(F.count("*"), F.count_if(F.col("p") == v.TYPE),
-                                              F.count_if(F.col("p") == v.SAME_AS)).first())
+            is_type = F.col("p") == v.TYPE
+            done = F.when(is_type, F.col("class_done")).otherwise(F.col("property_done"))
+            found = Kinds(*self.newest.df.agg(F.count("*"), F.count_if(is_type), F.count_if(F.col("p") == v.SAME_AS),
+                                              F.count_if(~done)).first())
         self.counts.append(found.rows)
         self.kinds.append(found)
         return found.rows

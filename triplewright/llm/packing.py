@@ -7,6 +7,7 @@ its place from its rank among the pieces of its length. The plan has a few thous
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -43,14 +44,10 @@ class _Remembered(dict):
 
     def missing(self, keys: set) -> list:
         """The keys that neither generation has; those of the older one are known from now on."""
-        older, out = self.older, []
-        for key in keys:
-            if key not in self:
-                if key in older:
-                    self[key] = older[key]
-                else:
-                    out.append(key)
-        return out
+        keys = keys.difference(self)
+        again = keys & self.older.keys()
+        self.update((key, self.older[key]) for key in again)
+        return list(keys - again)
 
     def make_room(self) -> None:
         """Begin a new generation if this one is full. Before the keys of a batch are looked for, not after."""
@@ -70,6 +67,9 @@ class _WordIds:
 
     #: Fixed value: the pattern in the vocabulary file.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: The same for lower-case words of the ASCII characters that ``PLAIN`` admits.
+    ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    ASCII = re.compile(rb"(?:(?!<\|)[!-~])+")
     #: Normalised as they are but for case; anything else goes to the tokenizer as a whole word.
     PLAIN = regex.compile(r"(?:(?!<\|)[!-~\u00A1-\u012F\u0131-\u024F])+")
 
@@ -97,16 +97,28 @@ class _WordIds:
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _cut(self, word: bytes) -> list | None:
+        """The parts of a word; None if the tokenizer must have it whole."""
+        if word.isalpha():
+            return [word.lower()]
+        if self.ASCII.fullmatch(word):
+            return self.ASCII_PARTS.findall(word.lower())
+        text = word.decode()
+        return [x.encode() for x in self.PARTS.findall(text.lower())] if self.PLAIN.fullmatch(text) else None
+
     def _learn(self, new: list[bytes]) -> None:
         self.parts.make_room()
-        decoded = [w.decode() for w in new]
-        plain = [bool(self.PLAIN.fullmatch(w)) for w in decoded]
-        cut = [self.PARTS.findall(w.lower()) if p else [] for w, p in zip(decoded, plain)]
-        missing = self.parts.missing({x for parts in cut for x in parts})
-        self.parts.update(zip(missing, self._encode(missing)))
-        known = self.parts
-        self.words.update((w, b"".join([known[x] for x in parts])) for w, parts, p in zip(new, cut, plain) if p)
-        self.words.update((w, self._whole(d)) for w, d, p in zip(new, decoded, plain) if not p)
+        cut = list(map(self._cut, new))
+        missing = self.parts.missing({x for parts in cut if parts for x in parts})
+        self.parts.update(zip(missing, self._encode([x.decode() for x in missing])))
+        known = self.parts.__getitem__
+        for word, parts in zip(new, cut):
+            if parts is None:
+                self.words[word] = self._whole(word.decode())
+            elif len(parts) == 1:
+                self.words[word] = known(parts[0])
+            else:
+                self.words[word] = b"".join(map(known, parts))
 
     def of(self, documents: list[bytes | None]) -> Iterator[bytes]:
         for at in range(0, len(documents), AT_ONCE):
@@ -116,9 +128,9 @@ class _WordIds:
         split = [(d or b"").split() for d in documents]
         words = self.words
         words.make_room()
-        self._learn(words.missing({w for found in split for w in found if w not in words}))
+        self._learn(words.missing(set().union(*split)))
         for found in split:
-            yield b"".join([words[w] for w in found])
+            yield b"".join(map(words.__getitem__, found))
 
 
 @lru_cache(maxsize=2)

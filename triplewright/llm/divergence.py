@@ -212,7 +212,11 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(lang, term, source, occurrences) of the terms that ``min_documents`` documents of the language hold."""
+    """(lang, term, held) of the terms that ``min_documents`` documents of the language hold; ``held`` has an entry
+    (source, occurrences) for each source with the term.
+
+    Blocks are added up in every task before they are shuffled, so that a term of all documents is no hot key.
+    """
     with ws.inner() as step:
         held = step.save(blocks(docs), "blocks")
         listed = held.select("block", F.posexplode("chunks").alias("number", "chunk"))
@@ -222,12 +226,16 @@ def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMEN
                            "joined")
         step.drop("terms")
         counted = held.drop("chunks").groupBy("block").cogroup(joined.groupBy("of_block"))
-        partial = ws.save(counted.applyInArrow(_count_block, PARTIAL), ws.unique("partial"))
-    kept = ws.save(partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_documents)
-                   .select("lang", "term"), ws.unique("kept"))
-    held = partial.join(F.broadcast(kept) if _small(kept) else kept, ["lang", "term"], "left_semi")
-    each = held.select("lang", "term", F.inline(F.arrays_zip("sources", "occurrences")).alias("source", "occurrences"))
-    return ws.save(each.groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("occurrences")), ws.unique("counts"))
+        partial = step.save(counted.applyInArrow(_count_block, PARTIAL), "partial")
+        for table in ("blocks", "joined"):
+            step.drop(table)
+        kept = step.save(partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(
+            F.col("docs") >= min_documents).select("lang", "term"), "kept")
+        each = partial.select("lang", "term", F.inline(F.arrays_zip("sources", "occurrences")).alias("source", "occurrences"))
+        each = each.join(F.broadcast(kept) if _small(kept) else kept, ["lang", "term"], "left_semi")
+        sums = each.groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("occurrences"))
+        held = sums.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "occurrences")).alias("held"))
+        return ws.save(held, ws.unique("counts"))
 
 
 def _small(df: DataFrame) -> bool:
@@ -278,20 +286,18 @@ def audit(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMENTS, ra
     an empty table gives no rows. The pairs of a language's sources are the result itself, so they are formed.
     """
     settings = Settings.of(docs.sparkSession)
-    counts = term_counts(docs, ws, min_documents)
+    per_term = term_counts(docs, ws, min_documents).withColumn(
+        "lang_count", F.aggregate("held", F.lit(0).cast("long"), lambda n, h: n + h["occurrences"]))
     groups = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
-    sums = counts.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))
+    sums = per_term.select("lang", F.inline("held")).groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))
     groups = ws.save(groups.join(sums, ["lang", "source"], "left").select(
         "lang", "source", F.coalesce("n", F.lit(0)).alias("n")), ws.unique("groups"))
-    sizes = counts.groupBy("lang", "term").agg(F.sum("occurrences").alias("n")).groupBy("lang").agg(
-        F.count("*").alias("terms"), F.sum("n").alias("lang_n"))
+    sizes = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_count").alias("lang_n"))
     # One row for each language that has kept terms: its sources in order, with their totals and shares of no occurrence.
     langs = ws.save(
         groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "n"))).alias("s"))
         .join(sizes, "lang").selectExpr("lang", "terms", "lang_n", "s.source as names", "s.n as totals",
                                         f"transform(s.n, n -> {_share('0', 'n', 'terms')}) as zero"), ws.unique("langs"))
-    per_term = counts.groupBy("lang", "term").agg(
-        F.collect_list(F.struct("source", "occurrences")).alias("held"), F.sum("occurrences").alias("lang_count"))
     fits = langs.selectExpr("coalesce(sum(24 * size(names)), 0) as b").first().b <= settings.broadcast_bytes
     placed = ws.save(lookup_join(per_term, langs, ["lang"], fits, settings).selectExpr(
         "lang", "term", "names", "zero", f"{_share('lang_count', 'lang_n', 'terms')} as q",

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,27 @@ def test_reading_html():
         dom.features([dom.parse(odd)])
 
 
+def test_tags_without_an_end_and_quotes_left_open():
+    def lines(html):
+        page = dom.parse(html)
+        return dom.main_text(page, np.ones(len(page.tags), bool)).split("\n")
+
+    assert lines("<p>a <a href='x>b</a> c<p>d") == ["a b c", "d"]
+    assert lines("""<p title="1>2" x='">'>a<b y="'>'">c</b></p><p z='>d</p>""") == ["ac", "d"]
+    assert lines("<p>1 <2 and <b") == ["1 <2 and <b"]
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 1_000_000, "</a " * 1_000_000, "<a " * 1_000_000 + ">", "<" + "a" * 3_000_000, "<" * 1_000_000,
+    "<a \"><a\" " * 200_000 + "'", "<div>" * 100_000, "<div>" * 50_000 + "</span>" * 50_000,
+    "<span><table>" + "<div>" * 50_000 + "</span>" * 50_000, "<p>" * 100_000, "<li><ul>" * 50_000])
+def test_reading_takes_time_in_proportion_to_the_page(html):
+    start = time.process_time()
+    page = dom.parse(html)
+    dom.decode(page, dom.features([page])[:, 0] if page.tags else np.zeros(0))
+    assert time.process_time() - start < 30
+
+
 def test_decoding_never_contradicts_itself():
     r = np.random.default_rng(2)
     for _ in range(200):

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from html import unescape
 
 import numpy as np
 
 _TOKEN = re.compile(
-    r"""<(?:!--(?:.*?--!?>|.*)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""",
+    r"""<(?:!--(?:.*?--!?>|.*)|([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|/([a-zA-Z][^\s/>]*+)[^>]*>|[!?/][^>]*>)""",
     re.S)
+_START = re.compile(r"<([a-zA-Z][^\s/>]*+)")
+_SIGN = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKENS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -88,9 +91,49 @@ def _kinds(attributes: str) -> int:
     return found
 
 
+class _Tags:
+    """The tags of a page, found in time linear in its length.
+
+    A start tag ends at the first ``>`` outside quotes, or at the first one of all if a quote is never closed.
+    Looking for it in vain costs the rest of the page, so after the first such tag the ends of all are worked
+    out in one pass from the back. Where no ``>`` follows there are no more tags, only text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.signs, self.ends = html, html.rfind(">"), None, None
+
+    def at(self, place: int) -> tuple[int, str | None, str | None, str | None] | None:
+        """(end, name of a start tag, its attributes, name of an end tag) of what starts here, if it is a tag."""
+        if place > self.last and not self.html.startswith("<!--", place):
+            return None
+        start = _START.match(self.html, place)
+        if start is None or self.ends is None:
+            if match := _TOKEN.match(self.html, place):
+                return match.end(), match[1], match[2], match[3]
+            if start is None:
+                return None
+            self._find_ends()
+        end = self.ends[bisect_left(self.signs, start.end())]
+        end = self.html.index(">", start.end()) if end < 0 else end
+        return end + 1, start[1], self.html[start.end():end], None
+
+    def _find_ends(self) -> None:
+        """For each sign, the end of a tag in which it is the first one; -1 where a quote stays open."""
+        self.signs = [m.start() for m in _SIGN.finditer(self.html)]
+        self.ends, following = [-1] * (len(self.signs) + 1), {}
+        for i in range(len(self.signs) - 1, -1, -1):
+            sign = self.html[self.signs[i]]
+            if sign == ">":
+                self.ends[i] = self.signs[i]
+            else:
+                self.ends[i] = self.ends[following[sign] + 1] if sign in following else -1
+                following[sign] = i
+
+
 def parse(html: str) -> Page:
     """Nodes and text runs of a page; unclosed and stray tags are mended, nothing raises."""
-    page, stack, block, at = Page(), [], 0, 0
+    page, stack, block, at, place = Page(), [], 0, 0, 0
+    found, places = _Tags(html), {}  # places in the stack of the open elements, by tag
     tags, parents, kinds, depths, above, around = (page.tags, page.parents, page.kinds, page.depths, page.above,
                                                    page.around)
 
@@ -116,22 +159,27 @@ def parse(html: str) -> Page:
             above.append(0)
             around.append(_AROUND.get(tag, 0) & _LINK)
         tags.append(tag)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(tags) - 1)
 
+    def topmost(names):
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     def close(names, barrier=()):
-        for i in range(len(stack) - 1, -1, -1):
-            tag = tags[stack[i]]
-            if tag in names:
-                del stack[i:]
-                return True
-            if tag in barrier:
-                return False
-        return False
+        top = topmost(names)
+        if top >= 0 and top >= topmost(barrier):
+            for node in stack[top:]:
+                places[tags[node]].pop()
+            del stack[top:]
 
-    while match := _TOKEN.search(html, at):
-        text(html[at:match.start()])
-        at = match.end()
-        start, attributes, end = match[1], match[2], match[3]
+    while (place := html.find("<", place)) >= 0:
+        tag_here = found.at(place)
+        if tag_here is None:
+            place += 1
+            continue
+        text(html[at:place])
+        at, start, attributes, end = tag_here
+        place = at
         if start:
             tag = start.lower()
             if tag in BLOCK:
@@ -139,7 +187,7 @@ def parse(html: str) -> Page:
             if tag in RAW:
                 if not attributes.endswith("/"):
                     stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = stop.end() if stop else len(html)
+                    at = place = stop.end() if stop else len(html)
                 continue
             if tag == "br":
                 text(" ")

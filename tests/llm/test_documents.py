@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import struct
 import zlib
@@ -17,6 +18,7 @@ from triplewright.plans.workspace import Workspace
 from .corpora import SCHEMA, corpus, rows, words
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +122,53 @@ def test_learned_rules_reject_what_labels_call_bad(spark):
     assert not rules and none.where("kept").count() == 450
 
 
+@pytest.mark.parametrize("good, bad, learned", [(6, 3, True), (1, 2, True), (6, 1, False), (0, 4, False), (6, 0, False)])
+def test_few_labels_are_enough(spark, good, bad, learned):
+    r = random.Random(good + bad)
+    data = [(i, " ".join(f"w{r.randrange(900)}" + "#" * (i >= good) for _ in range(80))) for i in range(good + bad)]
+    judged, rules = quality.apply_quality(
+        spark.createDataFrame(data, "doc_id long, text string"),
+        spark.createDataFrame([(i, int(i < good)) for i, _ in data], "doc_id long, quality int"), Workspace(spark))
+    assert bool(rules) == learned
+    if learned:
+        assert {r.doc_id for r in judged.collect() if r.kept} == set(range(good))
+
+
+def test_a_rule_that_fails_on_held_out_rows_is_not_the_last_one_tried(spark):
+    """Rows to learn from are told best by their symbols, held-out ones are not; words tell both well enough."""
+    order = [r.i for r in spark.range(90).select(F.col("id").alias("i")).orderBy(F.xxhash64("i")).collect()]
+    counts, labels, turn = [], [], {0: 0, 1: 0}
+    for i in order:
+        bad = i % 2
+        turn[bad] += 1
+        held = turn[bad] % 3 == 2
+        symbols = 50 if bad != held else 0
+        words_in = 100 + i + (0 if bad and i != 1 else 1000)
+        counts.append((i, words_in, 5 * words_in, symbols, 0, 0, 1, 0, 0, words_in))
+        labels.append((i, 1 - bad))
+    names = ("doc_id", *quality.MEASURES, *quality._OTHERS)
+    frame = spark.createDataFrame(counts, ", ".join(f"{n} long" for n in names))
+    rules = quality.learn_rules(frame, spark.createDataFrame(labels, "doc_id long, quality int"), Workspace(spark))
+    assert [[(c.statistic, c.above) for c in rule] for rule in rules][0][0][0] in ("words", "line_words", "word_chars")
+    rejected = {r.doc_id for r in frame.where(~quality.verdict(rules)).collect()}
+    assert rejected >= {i for i in order if i % 2 and i != 1} and not any(i % 2 == 0 for i in rejected)
+
+
+def test_rules_learned_on_the_smallest_tables_hold_on_larger_ones(spark):
+    """The rules of one folder, judged by the labels of one with ten times the documents."""
+    folders = [os.path.join(os.path.dirname(FOLDER), name) for name in ("sf0.001", "sf0.01")]
+    if not all(map(os.path.isdir, folders)):
+        pytest.skip("needs both folders")
+    small, large = ([spark.read.parquet(f"{f}/{t}.parquet") for t in ("documents", "labels")] for f in folders)
+    _, rules = quality.apply_quality(*small, Workspace(spark))
+    statistics = Workspace(spark).save(quality.text_statistics(large[0]), "statistics")
+    judged = statistics.where(~quality.base_failed()).join(large[1], "doc_id")
+    found = judged.groupBy("quality", quality.verdict(rules).alias("kept")).count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in found}
+    assert n.get((0, False), 0) > 0.9 * (n.get((0, False), 0) + n.get((0, True), 0))
+    assert n.get((1, False), 0) < 0.05 * (n.get((1, False), 0) + n.get((1, True), 0))
+
+
 def expected_targets(sizes):
     """Water filling over (source, size) by trying each number of full sources."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))

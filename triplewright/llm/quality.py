@@ -2,7 +2,7 @@
 
 The list is learned by sequential covering. Each rule is a conjunction of thresholds that is grown, one
 condition at a time, on two thirds of the labelled rows by information gain, then pruned from its end on the
-other third. Every step is one aggregate over binned statistics, of which a few hundred counts come back.
+other third. Every step weighs all thresholds between neighbouring values with windows, and one row comes back.
 The finished list is an ordered Spark conditional expression.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.workspace import Workspace
@@ -21,13 +21,13 @@ _SPACES = "[\\x20\\x09-\\x0D]+"
 
 #: Labelled rows used at most for learning, those with the smallest hash of their id. Bounds the fit.
 LEARNING_ROWS = 20_000
-#: Cut points for each statistic.
-CUTS = 24
 MAX_RULES = 8
 MAX_CONDITIONS = 3
-#: A rule must be right for this share of the rows it rejects on the pruning rows, and reject this many.
+#: A rule must be right for this share of the rows it rejects on the pruning rows, and reject this many of them, or
+#: this share of the bad ones if that is less.
 MIN_PRECISION = 0.95
 MIN_REJECTED = 5
+MIN_SHARE = 0.1
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _OTHERS = ("n_lines", "n_upper", "n_marks", "n_distinct")
@@ -117,36 +117,38 @@ def _both(rule: tuple[Condition, ...]) -> Column:
     return out
 
 
-def _information(bad: float, good: float) -> float:
-    return math.log2(bad / (bad + good)) if bad else -math.inf
+def _grow(rows: DataFrame, refused: set[tuple[str, bool]]) -> tuple[Condition, ...]:
+    """Add the condition of highest gain until no good row is left or nothing is gained.
 
-
-def _grow(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, ...]:
-    """Add the condition of highest gain until no good row is left or nothing is gained."""
+    Thresholds lie half-way between neighbouring values of the rows that the rule rejects so far, so they are
+    as fine as the labels need. A rule does not begin with a statistic and direction in ``refused``.
+    """
     rule: tuple[Condition, ...] = ()
+    along = Window.partitionBy("s").orderBy("value")
+    until, whole = along.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("s")
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("value")) for s, v in _statistics().items()]))
     for _ in range(MAX_CONDITIONS):
-        cells = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"bin_{s}").alias("bin")) for s in cuts]))
-        counts = (
-            rows.where(_both(rule)).select(cells.alias("c"), "bad").groupBy("c.s", "c.bin")
-            .agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect())
-        table = {(r.s, r.bin): (r.bad, r.n - r.bad) for r in counts}
-        first = next(iter(cuts))
-        bad = sum(v[0] for k, v in table.items() if k[0] == first)
-        good = sum(v[1] for k, v in table.items() if k[0] == first)
-        if not bad or not good:
-            break
-        best, gain = None, 1e-9
-        for name, points in cuts.items():
-            below = [0, 0]
-            for at, point in enumerate(points):
-                below = [x + y for x, y in zip(below, table.get((name, at), (0, 0)))]
-                for above, (b, g) in ((False, below), (True, (bad - below[0], good - below[1]))):
-                    value = b * (_information(b, g) - _information(bad, good)) if b else -math.inf
-                    if value > gain:
-                        best, gain = Condition(name, above, point), value
+        counts = rows.where(_both(rule)).select(cells.alias("c"), "bad").groupBy("c.s", "c.value").agg(
+            F.sum("bad").alias("b"), F.count("*").alias("n"))
+        steps = counts.select(
+            "s", ((F.col("value") + F.lead("value").over(along)) / 2).alias("threshold"),
+            F.sum("b").over(until).alias("b"), F.sum("n").over(until).alias("n"),
+            F.sum("b").over(whole).alias("bad"), F.sum("n").over(whole).alias("every"))
+        sides = steps.where("threshold is not null and bad < every").select(
+            "s", "threshold", "bad", "every", F.explode(F.array(
+                F.struct(F.lit(False).alias("above"), F.col("b"), F.col("n")),
+                F.struct(F.lit(True).alias("above"), (F.col("bad") - F.col("b")).alias("b"),
+                         (F.col("every") - F.col("n")).alias("n")))).alias("side")).select(
+            "s", "threshold", "bad", "every", "side.*").where("b > 0")
+        if not rule:
+            for name, above in sorted(refused):
+                sides = sides.where((F.col("s") != name) | (F.col("above") != above))
+        gain = F.expr("b * (log2(b / n) - log2(bad / every))")
+        best = (sides.withColumn("gain", gain).where("gain > 1e-9")
+                .orderBy(F.desc("gain"), "s", "above", "threshold").first())
         if best is None:
             break
-        rule = (*rule, best)
+        rule = (*rule, Condition(best.s, best.above, best.threshold))
     return rule
 
 
@@ -163,36 +165,36 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, ws: Workspace) -> list
     """The ordered rules that reject, from counts of ``text_statistics`` and (doc_id, quality 0 or 1).
 
     Rows that fail the base rules, have no label or a null one teach nothing; of several labels of a document
-    the lowest counts. Without rows of both kinds there are no rules.
+    the lowest counts. Every third row of either kind is held out, and a rule joins the list if it is right for
+    MIN_PRECISION of the held-out rows it rejects and rejects MIN_REJECTED of them, or MIN_SHARE of the held-out
+    bad rows where that is less. One that does not is refused, and the next best first condition is tried. Without a
+    good row and two bad ones, one to learn from and one to hold out, there are no rules.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"))
     rows = statistics.where(~base_failed()).join(known, "doc_id").select(
         F.xxhash64("doc_id").alias("mark"), (F.col("quality") == 0).cast("int").alias("bad"),
         *MEASURES, *_OTHERS)
-    rows = ws.save(rows.orderBy("mark", *MEASURES, *_OTHERS, "bad").limit(LEARNING_ROWS), ws.unique("labelled"))
-    values = _statistics()
-    points = rows.agg(*[F.percentile_approx(v, [i / (CUTS + 1) for i in range(1, CUTS + 1)], 1000).alias(s)
-                        for s, v in values.items()]).first()
-    cuts = {s: sorted(set(points[s] or ())) for s in values}
-    cuts = {s: c for s, c in cuts.items() if c}
-    if not cuts:
+    order = ("mark", *MEASURES, *_OTHERS)
+    # At most LEARNING_ROWS rows from here on.
+    rows = ws.save(rows.orderBy(*order, "bad").limit(LEARNING_ROWS), ws.unique("labelled"))
+    turn = F.row_number().over(Window.partitionBy("bad").orderBy(*order))
+    rows = ws.save(rows.withColumn("held", turn % 3 == 2), ws.unique("split"))
+    held_bad = rows.where("held and bad = 1").count()
+    if not held_bad or not rows.where("bad = 0").count():
         return []
-
-    def bin_of(name):
-        return sum((F.when(values[name] >= c, 1).otherwise(0) for c in cuts[name]), F.lit(0))
-
-    rows = ws.save(rows.withColumns({f"bin_{s}": bin_of(s) for s in cuts}).coalesce(4), ws.unique("binned"))
-    grown, held = F.pmod("mark", F.lit(3)) != 0, F.pmod("mark", F.lit(3)) == 0
+    least = min(MIN_REJECTED, max(1, math.ceil(MIN_SHARE * held_bad)))
     rules: list[tuple[Condition, ...]] = []
+    refused: set[tuple[str, bool]] = set()
     left = rows
     while len(rules) < MAX_RULES:
-        rule = _grow(left.where(grown), cuts)
-        if not rule:
-            break
-        rule, precision, rejected = _pruned(left.where(held), rule)
-        if precision < MIN_PRECISION or rejected < MIN_REJECTED:
+        grown = _grow(left.where("not held"), refused)
+        if not grown:
             break
+        rule, precision, rejected = _pruned(left.where("held"), grown)
+        if precision < MIN_PRECISION or rejected < least:
+            refused.add((grown[0].statistic, grown[0].above))
+            continue
         rules.append(rule)
         left = left.where(~_both(rule))
     return rules

@@ -245,11 +245,54 @@ def test_licenses(spark):
         (8, "# SPDX-License-Identifier: GPL-3.0-only\ncode", ["GPL-3.0-only"]),
         (9, "x " * 50_000 + ". RELEASED   UNDER THE MIT LICENSE. " + "y " * 50_000, ["MIT"]),
         (10, "Unreleased under the MIT License.", []),
+        (11, "This is free and unencumbered software released into the public\ndomain.", ["Unlicense"]),
+        (12, "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", ["Apache-2.0", "MIT"]),
+        (13, "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only"]),
+        (14, "This file is licensed under the MIT License.", ["MIT"]),
+        (15, "The software is distributed under the terms of the\n# Mozilla Public\n# License, v. 2.0.", ["MPL-2.0"]),
+        (16, bsd + "\nNeither the name of Some\nBody, Inc. nor the names of its contributors may be used to endorse or "
+             "promote products derived from this software without specific prior written permission.", ["BSD-3-Clause"]),
+        (17, "The software is distributed under the terms of a contract. Released under pressure.", []),
+        (18, "SPDX-License-Identifier: Unheard-Of-1.0", []), (19, "The SPDX-License-Identifier: MIT", ["MIT"]),
+        (20, "Neither the name of " + "x" * 500 + " " + s["bsd-endorse"][0].split("holder ")[1], []),
     ]
     frame = spark.createDataFrame([x[:2] for x in found], "doc_id long, text string")
     assert {r.doc_id: r.licenses for r in licenses.scan_licenses(frame).collect()} == {d: e for d, _, e in found}
 
 
+def test_every_run_of_fragments():
+    """Texts of known and unknown sentences, cut over lines, against trying every run at every place."""
+    r = random.Random(8)
+    every = [f for forms in licenses.SENTENCES.values() for f in forms]
+    every += [f"This {r.choice(('file', 'work'))} is released under the {n}." for forms in licenses.NAMES.values() for n in forms]
+    every += [f.replace("...", "Some One") for forms in licenses.HOLES.values() for f in forms]
+
+    def wrapped(sentence):
+        return "".join(r.choice(("\n", " \n  ", "\n * ")) if c == " " and r.random() < 0.15 else c for c in sentence)
+
+    for _ in range(200):
+        parts = [wrapped(r.choice(every)) if r.random() < 0.6 else r.choice(("This is text.", "The MIT people", "Released."))
+                 for _ in range(r.randint(1, 6))]
+        body = r.choice(("\n", "\n\n")).join(parts).encode()
+        fragments = [f for f in map(licenses.normalised, licenses._END.split(body)) if f]
+        expected, at = [], 0
+        while at < len(fragments):
+            ends = [e for e in range(at + 1, len(fragments) + 1) if licenses._identifier(b" ".join(fragments[at:e]))]
+            if ends:
+                expected.append(licenses._identifier(b" ".join(fragments[at:ends[-1]])))
+            at = ends[-1] if ends else at + 1
+        assert [name for name, _ in licenses.sentence_ids(body)] == expected
+
+
+def test_notices_in_the_documents_are_found(spark):
+    """Each line of the smallest documents that names a license, found by a plain search, gives a license."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs).collect()}
+    named = {r.doc_id for r in docs.where(F.col("text").rlike(r"(?i)(licensed|released) under ")).collect()}
+    assert named and all(found[d] for d in named)
+    assert not any(found[d] for d in found.keys() - named)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert packing.pack(packing.tokenized_pieces(empty, VOCABULARY), Workspace(spark)).count() == 0

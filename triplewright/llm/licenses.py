@@ -1,8 +1,10 @@
 """License recognition from sentences.
 
 Known license sentences have identifiers. The text is cut into fragments at line and sentence ends, and runs
-of fragments are looked up, so that a sentence wrapped over lines is found too. Ordered rules then match the
-sequence of identifiers: the first rule that fits at a place names a license and uses up its sentences.
+of normalised fragments are looked up, so that a sentence wrapped over lines is found too. Beside whole sentences
+there are notices, made of a known opening and a name of a license, sentences with a hole for the holder's name,
+and SPDX tags with an expression. Ordered rules then match the sequence of identifiers: the first rule that fits
+at a place names a license and uses up its sentences.
 """
 
 from __future__ import annotations
@@ -82,6 +84,44 @@ SENTENCES = {
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+# Names of licenses as notices give them, by the identifier of the notice.
+NAMES = {
+    "apache-2.0-name": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0",
+                        "Apache-2.0", "Apache License v2.0"),
+    "mit-name": ("MIT License", "MIT", "Expat License"),
+    "isc-name": ("ISC License", "ISC"),
+    "bsd-2-name": ("BSD 2-Clause License", "BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License"),
+    "bsd-3-name": ("BSD 3-Clause License", "BSD-3-Clause", "3-Clause BSD License", "New BSD License",
+                   "Modified BSD License"),
+    "gpl-3-name": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0", "GPLv3"),
+    "gpl-2-name": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0", "GPLv2"),
+    "lgpl-3-name": ("GNU Lesser General Public License, version 3", "LGPL-3.0", "LGPLv3"),
+    "agpl-3-name": ("GNU Affero General Public License, version 3", "AGPL-3.0", "AGPLv3"),
+    "mpl-2-name": ("Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0",
+                   "Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0"),
+    "cc0-name": ("CC0 1.0", "CC0", "CC0 1.0 Universal"),
+    "cc-by-name": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License",
+                   "Creative Commons Attribution 4.0 License"),
+    "cc-by-sa-name": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nc-name": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-nd-name": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa-name": ("CC BY-NC-SA 4.0",
+                         "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "unlicense": ("The Unlicense", "Unlicense"),
+}
+
+# Sentences in which "..." stands for the name of a holder or an organisation.
+HOLES = {
+    "bsd-endorse": ("Neither the name of ... nor the names of its contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission.",
+                    "Neither the name of ... nor the names of their contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission.",
+                    "The name of ... may not be used to endorse or promote products derived from this software "
+                    "without specific prior written permission."),
+}
+#: Bytes that a hole takes at most, in normalised form.
+HOLE = 120
+
 #: License and the identifiers that give it, in order of preference; a longer form comes before its parts.
 RULES = (
     ("Apache-2.0", ("apache-2.0-name", "apache-2.0-comply", "apache-2.0-copy", "apache-2.0-as-is")),
@@ -117,9 +157,14 @@ RULES = (
 
 _END = re.compile(rb"(?<=[.;:!?])[\x20\x09-\x0D]+|\n")
 _SIGNS = re.compile(rb"[^a-z0-9\x80-\xff]+")
-#: Each known sentence has one of these in it.
-_HINT = re.compile(rb"licen[sc]e|permission|redistribution|warrant|public domain|(?:neither|copyright) ")
 _TAG = b"spdx license identifier"
+#: How a notice begins, in normalised form; the name of a license follows.
+_OPENING = re.compile(
+    rb"(?:(?:this|the) (?:file|work|project|software|program|code|source code|document|library|package|repository|"
+    rb"module) (?:is |are )?)?(?:(?:dual )?licensed|released|distributed|published|available|made available|provided) "
+    rb"under (?:the )?(?:terms of )?(?:the )?")
+#: What an SPDX expression joins names with; what follows WITH is an exception and no license.
+_JOINTS = re.compile(rb" (?:or|and) ")
 
 
 def normalised(sentence: bytes) -> bytes:
@@ -128,13 +173,40 @@ def normalised(sentence: bytes) -> bytes:
 
 
 KNOWN = {normalised(s.encode()): name for name, forms in SENTENCES.items() for s in forms}
+_NAMES = {normalised(s.encode()): name for name, forms in NAMES.items() for s in forms}
+_HOLES = [(*(normalised(part.encode()) for part in s.split("...")), name) for name, forms in HOLES.items() for s in forms]
 _TAGS = {normalised(name.encode()): name for name, _ in RULES}
-_LONGEST = max(map(len, KNOWN))
-_STARTS = {k.split(b" ", 1)[0] for k in KNOWN}
+_LONGEST_NOTICE = max(map(len, _NAMES)) + 80
+_LONGEST = max(*map(len, KNOWN), _LONGEST_NOTICE, *(len(a) + len(b) + HOLE + 2 for a, b, _ in _HOLES))
+_STARTS = ({k.split(b" ", 1)[0] for k in KNOWN} | {a.split(b" ", 1)[0] for a, _, _ in _HOLES}
+           | set(b"this the dual licensed released distributed published available made provided".split()))
+
+
+def _identifier(run: bytes) -> str | None:
+    """The identifier of a normalised sentence: known as a whole, with a hole, or as a notice."""
+    if name := KNOWN.get(run):
+        return name
+    for before, after, name in _HOLES:
+        hole = len(run) - len(before) - len(after) - 2
+        if 0 < hole <= HOLE and run.startswith(before + b" ") and run.endswith(b" " + after):
+            return name
+    if len(run) <= _LONGEST_NOTICE and (opening := _OPENING.match(run)):
+        rest = run[opening.end():]
+        return _NAMES.get(rest) or _NAMES.get(rest.removesuffix(b" license"))
+    return None
+
+
+def _expression(found: bytes) -> list[str]:
+    """The licenses of a normalised SPDX expression, in order; names that are not known give none."""
+    parts = (part.split(b" with ", 1)[0] for part in _JOINTS.split(found))
+    return [_TAGS[part] for part in parts if part in _TAGS]
 
 
 def sentence_ids(body: bytes) -> Iterator[tuple[str, bytes]]:
-    """The known sentences of a text in order, as (identifier, normalised sentence)."""
+    """The known sentences of a text in order, as (identifier, normalised sentence).
+
+    Of the runs of fragments that are known at a place, the longest counts, and the next place is behind it.
+    """
     fragments = [f for f in map(normalised, _END.split(body)) if f]
     at = 0
     while at < len(fragments):
@@ -142,18 +214,19 @@ def sentence_ids(body: bytes) -> Iterator[tuple[str, bytes]]:
         if run.split(b" ", 1)[0] in _STARTS:
             best = None
             while len(run) <= _LONGEST:
-                if run in KNOWN:
-                    best = (run, end)
+                if name := _identifier(run):
+                    best = (name, run, end)
                 if end == len(fragments):
                     break
                 run, end = run + b" " + fragments[end], end + 1
             if best:
-                yield KNOWN[best[0]], best[0]
-                at = best[1]
+                yield best[:2]
+                at = best[2]
                 continue
-            end = at + 1
-        elif run.endswith(_TAG) and end < len(fragments) and (name := _TAGS.get(fragments[end])):
-            yield f"spdx:{name}", run + b" " + fragments[end]
+            run, end = fragments[at], at + 1
+        if run.endswith(_TAG) and end < len(fragments) and (names := _expression(fragments[end])):
+            for name in names:
+                yield f"spdx:{name}", run + b" " + fragments[end]
             end += 1
         at = end
 
@@ -185,7 +258,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             names, sequences = [], []
             for body in texts(batch.column(1)):
                 found = []
-                if body and _HINT.search(body.lower()):
+                if body:
                     found = [name for name, _ in sentence_ids(body)]
                 sequences.append(found)
                 names.append(sorted(set(matched_rules(found))))

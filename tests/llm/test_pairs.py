@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from triplewright.llm import ngram_join, substring
 from triplewright.plans.workspace import Workspace
@@ -118,6 +119,18 @@ def test_rows_with_one_id_or_none(spark):
     assert parts == [1] * 5
 
 
+def test_rows_of_one_id_in_different_components(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    found = [(0, other), (1, one), (1, other), (0, one + " z"), (2, ""), (2, None)]
+    frame = spark.createDataFrame(found, "doc_id long, text string").select("*", F.xxhash64("text").alias("h"))
+    texts = {(r.doc_id, r.h): r.text for r in frame.collect()}
+    answer = ngram_join.jaccard_rows(frame, Workspace(spark)).collect()
+    parts = {(r.doc_id, texts[r.doc_id, r.text_hash]): r.part for r in answer}
+    assert {r.component_id for r in answer} == {0, 2}
+    assert parts[0, other] == parts[1, other] != parts[1, one] == parts[0, one + " z"]
+    assert parts[2, ""] is None and parts[2, None] is None
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ngram_join.jaccard_components(empty, Workspace(spark)).count() == 0

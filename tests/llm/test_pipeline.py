@@ -76,6 +76,19 @@ def test_stages_against_brute_force(spark, labels):
     check_packing(held["best_fit_packing"], 2048)
 
 
+def test_near_duplicates_by_row(spark, labels):
+    """Rows of one id with different texts, repeated rows, and columns named like those used inside."""
+    one, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    found = [(0, other, 1, "x"), (1, one, 2, "x"), (1, other, 3, "x"), (1, one, 1, "y"), (1, one, 1, "x"), (2, one + " z", 1, "x"),
+             (3, "", 1, "x"), (3, "", 0, "x"), (3, None, 1, "x"), (4, "", 1, "x"), (None, one, 1, "x"), (None, one, 1, "x")]
+    docs = spark.createDataFrame(found, "doc_id long, text string, turn int, text_hash string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, labels)
+    assert kept.columns == docs.columns
+    expected = [(0, other, 1, "x"), (1, one, 1, "x"), (3, "", 0, "x"), (3, None, 1, "x"), (4, "", 1, "x"),
+                (None, one, 1, "x"), (None, one, 1, "x")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_empty_and_odd_documents(spark, labels):
     odd = [(1, None), (1, None), (None, "x"), (2, "a b " * 60), (2, "a b " * 60), (None, None)]
     for found in ([], [(a, b, None, None, None) for a, b in odd]):

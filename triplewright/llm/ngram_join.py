@@ -72,17 +72,18 @@ def _early(size: int) -> int:
 
 
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, key) of every row; the key, null for an empty set, is equal for equal sets."""
+    """(doc_id, n_shingles, key, text_hash) of every row; the key, null for an empty set, is equal for equal sets."""
 
     def rows(batches):
         for batch in batches:
             sets = [token_set(b, width) for b in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "key"])
+                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), batch.column(2)],
+                ["doc_id", "n_shingles", "key", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, key long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        rows, "doc_id long, n_shingles long, key long, text_hash long")
 
 
 def _packed_tokens(ranges: int, whole: bool, width: int):
@@ -340,11 +341,17 @@ def _joined_sets(docs: DataFrame, sets: DataFrame, ws: Workspace, width: int) ->
 
 
 def jaccard_components(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row (doc_id, text).
+    """(doc_id, n_shingles, component_id) of every row (doc_id, text), as in ``jaccard_rows``."""
+    return jaccard_rows(docs, ws, width).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, part, text_hash) of every row (doc_id, text).
 
     ``component_id`` is the smallest doc_id that links reach. Null and empty texts and texts without words
     have no shingles and are alone; a text shorter than a shingle is one shingle. Repeated rows are
-    documents with equal sets. A null doc_id is never the smallest.
+    documents with equal sets. A null doc_id is never the smallest. ``part`` tells components apart where rows
+    of one id have different texts, and is null without shingles; ``text_hash`` is ``xxhash64`` of the text.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     described_rows = ws.save(described(docs, width), ws.unique("described"))
@@ -355,9 +362,9 @@ def jaccard_components(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> Da
         parts = parts.select(F.col("node").alias("key"), F.col("rep").alias("part"))
         members = parts.join(sets.select("key", "rep"), "key")
         smallest = step.save(members.groupBy("part").agg(F.min("rep").alias("least")), "smallest")
-        linked_sets = step.save(parts.join(smallest, "part").select("key", "least"), "linked_sets")
+        linked_sets = step.save(parts.join(smallest, "part").select("key", "least", "part"), "linked_sets")
         named = sets.select("key", "rep").join(linked_sets, "key", "left").select(
-            "key", F.coalesce("least", "rep").alias("least"))
+            "key", F.coalesce("least", "rep").alias("least"), F.coalesce("part", "key").alias("part"))
         named = ws.save(named, ws.unique("named"))
     return described_rows.join(named, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "part", "text_hash")

@@ -26,16 +26,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, once if its row is repeated.
+    """One row of each group of near copies: that with the smallest id, and of these with the smallest hash of its text.
 
-    Documents without words are no copies of each other, and rows without an id all stay.
+    Rows count, not ids: where rows of one id have different texts, each stays or goes by its own text. Documents
+    without words are no copies of each other; of rows with the same id and text the first by all columns stays.
+    Rows without an id all stay.
     """
     ship_package(spark)
-    components = ngram_join.jaccard_components(docs, Workspace(spark))
-    first = components.where("doc_id = component_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    stay = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    ws = Workspace(spark)
+    groups = ws.save(ngram_join.jaccard_rows(docs, ws).where("doc_id is not null"), ws.unique("groups"))
+    first = groups.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    alone = groups.where("part is null").select("doc_id", "text_hash").distinct()
+    stay = ws.save(first.select("row.*").unionByName(alone), ws.unique("stay"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.struct(*docs.columns).alias("document"))
+    same = Window.partitionBy("doc_id", "text_hash").orderBy(*[f"document.`{c}`" for c in docs.columns])
+    kept = whole.join(stay, ["doc_id", "text_hash"], "left_semi").withColumn("turn", F.row_number().over(same))
+    return kept.where("turn = 1").select("document.*").unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,10 +176,10 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, ws: Workspace) -> list
         F.xxhash64("doc_id").alias("mark"), (F.col("quality") == 0).cast("int").alias("bad"),
         *MEASURES, *_OTHERS)
     order = ("mark", *MEASURES, *_OTHERS)
-    # At most LEARNING_ROWS rows from here on.
-    rows = ws.save(rows.orderBy(*order, "bad").limit(LEARNING_ROWS), ws.unique("labelled"))
+    # At most LEARNING_ROWS rows from here on: one partition holds them, and no step shuffles.
     turn = F.row_number().over(Window.partitionBy("bad").orderBy(*order))
-    rows = ws.save(rows.withColumn("held", turn % 3 == 2), ws.unique("split"))
+    rows = rows.orderBy(*order, "bad").limit(LEARNING_ROWS).withColumn("held", turn % 3 == 2)
+    rows = ws.save(rows, ws.unique("labelled")).coalesce(1)
     held_bad = rows.where("held and bad = 1").count()
     if not held_bad or not rows.where("bad = 0").count():
         return []

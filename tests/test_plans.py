@@ -70,3 +70,37 @@ def test_values_of_a_class_with_many_subclasses_stay_with_it(spark):
         assert result.book.counts["class"] == rows
         found.append(sorted(map(tuple, result.new_instances.collect())))
     assert found[0] == found[1] and len(found[0]) == 250
+
+
+def test_rules_of_few_predicates_are_read_by_them_in_a_wide_schema(spark):
+    """Of 12 predicates a filter takes 4: each rule that reads no more than that has its own list."""
+    triples = graphs.graph(";".join(
+        [f"p{i} subProp q; x{i} p{i} y{i}" for i in range(10)]
+        + ["t type Transitive; a t b; b t c; i type InverseFunctional; m i k; n i k"]), "g")
+    df = spark.createDataFrame(triples, "s string, p string, o string")
+    result = m.materialize(df, Settings(filter_values=4))
+    book = result.book
+    assert book.reads == {"transitive": ["<g:t>"], "inverse_functional": ["<g:i>"]}
+    for rule, name in (("transitive", "<g:t>"), ("inverse_functional", "<g:i>")):
+        plan = book.read_by(rule, result.facts.known())._jdf.queryExecution().toString()
+        assert f"EqualTo(p,{name})" in plan
+    wide = m.materialize(df)
+    for view in ("new_instances", "new_sameas"):
+        assert sorted(getattr(result, view).collect()) == sorted(getattr(wide, view).collect()) != []
+
+
+def test_heads_without_consequences_are_closed_and_the_last_round_joins_nothing(spark):
+    """Types that some and all find and whose classes have no rows need no further round over the known facts."""
+    triples = graphs.graph("V some B; V onProperty p; R all A; R onProperty p; x p y; y type B; x type R; A sub C; D sub E", "g")
+    df = spark.createDataFrame(triples, "s string, p string, o string")
+    asked, apply = [], m._apply
+    m._apply = lambda *args: asked.append(apply(*args)) or asked[-1]
+    try:
+        result = m.materialize(df)
+    finally:
+        m._apply = apply
+    found = {(r.s, r.cls) for r in result.new_types.collect()}
+    assert found == {("<g:x>", "<g:V>"), ("<g:y>", "<g:A>"), ("<g:y>", "<g:C>")}
+    closed = {(r.k1, r.k2): r.closed for r in result.book.table.where("rule in ('some', 'all')").collect()}
+    assert closed == {("<g:p>", "<g:B>"): True, ("<g:R>", "<g:p>"): False}
+    assert result.rounds == [2, 1, 0] and [len(frames) for frames in asked] == [3, 1, 0]

@@ -302,3 +302,18 @@ def test_empty_tables(spark):
     assert mixing.mixed_documents(empty, Workspace(spark)).count() == 0
     assert langid.predict(empty, langid.learn(empty)).count() == 0
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_words_of_letters_and_signs_are_cut_without_patterns():
+    """Letters, Latin-1 ones too, with signs behind them or not; the parts are those of the vocabulary's pattern."""
+    class Plain(packing._WordIds):
+        ASCII = ASCII_PARTS = PLAIN = None
+
+    plain, ids, tokenizer = Plain(VOCABULARY), packing._WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    easy = ["word", "Word,", "ciónoses.", "ÄHEIT&&&", "ß", "ªµº!", "they'", "a<|", "É"]
+    for word in easy:
+        assert [x.decode() for x in plain._cut(word.encode())] == packing._WordIds.PARTS.findall(word.lower())
+    hard = ["don't", "it's.", "<|endoftext|>", "x1", "...", "1234,", "İ", "ŉ'", "×", "日本。", "é", "²", "a­", "'re"]
+    for word in easy + hard:
+        expected = tokenizer.encode(word, add_special_tokens=False).ids
+        assert next(ids.of([word.encode()])) == struct.pack(f"<{len(expected)}I", *expected)

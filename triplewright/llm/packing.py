@@ -73,6 +73,10 @@ class _WordIds:
     #: Normalised as they are but for case; anything else goes to the tokenizer as a whole word.
     PLAIN = regex.compile(r"(?:(?!<\|)[!-~\u00A1-\u012F\u0131-\u024F])+")
 
+    #: ASCII signs, and the bytes of Latin-1 characters but signs and digits.
+    SIGNS = bytes(b for b in range(33, 127) if not bytes([b]).isalnum())
+    LATIN = bytes(b for b in range(256) if bytes([b]).isalpha() or 0x80 <= b <= 0xBF or b in (0xC2, 0xC3))
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.words, self.parts = _Remembered(REMEMBERED_WORDS), _Remembered(REMEMBERED_PARTS)
@@ -99,8 +103,15 @@ class _WordIds:
 
     def _cut(self, word: bytes) -> list | None:
         """The parts of a word; None if the tokenizer must have it whole."""
-        if word.isalpha():
-            return [word.lower()]
+        core = word.rstrip(self.SIGNS)  # most words are letters, with signs behind them or not
+        if core.isalpha():
+            letters = core.lower()
+        elif core and not core.translate(None, self.LATIN) and (text := core.decode()).isalpha():
+            letters = text.lower().encode()
+        else:
+            letters = None
+        if letters is not None:
+            return [letters] if len(core) == len(word) else [letters, word[len(core):]]
         if self.ASCII.fullmatch(word):
             return self.ASCII_PARTS.findall(word.lower())
         text = word.decode()

@@ -317,3 +317,21 @@ def test_words_of_letters_and_signs_are_cut_without_patterns():
     for word in easy + hard:
         expected = tokenizer.encode(word, add_special_tokens=False).ids
         assert next(ids.of([word.encode()])) == struct.pack(f"<{len(expected)}I", *expected)
+
+
+def test_plain_words_are_cut_as_columns(monkeypatch):
+    """No word of letters, with signs behind them or not, is cut by itself, whatever the case and the Latin letters."""
+    class Columns(packing._WordIds):
+        def _cut(self, word):
+            assert not word
+            return super()._cut(word)
+
+    letters = [chr(c) for c in range(0xA1, 0x250) if chr(c).isalpha() and c != 0x130]
+    texts = ["", " ", "Word word, WORD. ción&&& they' a<|\x0b\x0cb", *(f"x{c} {c}! \t{c}yZ\n" for c in letters)]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at_once in (packing.AT_ONCE, 1, 40):
+        monkeypatch.setattr(packing, "AT_ONCE", at_once)
+        ids = Columns(VOCABULARY)
+        found = list(ids.of([t.encode() for t in texts]))
+        assert [list(struct.unpack(f"<{len(f) // 4}I", f)) for f in found] == expected

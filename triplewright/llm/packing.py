@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..plans.workspace import Workspace
 from .words import texts
@@ -28,8 +30,8 @@ CAPACITY = 2048
 #: one began is forgotten.
 REMEMBERED_WORDS = 250_000
 REMEMBERED_PARTS = 400_000
-#: Documents that are split into words at the same time.
-AT_ONCE = 256
+#: Bytes of documents that are split into words at the same time, about.
+AT_ONCE = 8_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, last_rank long, per_bin long, first_bin long, base long"
 
@@ -62,7 +64,8 @@ class _WordIds:
     The vocabulary's pre-tokenizer never joins characters across white space and drops the white space, so
     the ids of a text are those of its words one after the other. It also cuts a word into letters, digits
     and signs, whose ids do not depend on each other; words of plain Latin characters are cut here the
-    same way, because far fewer different parts than words need the tokenizer itself.
+    same way, because far fewer different parts than words need the tokenizer itself. Each different word of some
+    documents is looked at once: letters with signs behind them or not as columns, any other word by itself.
     """
 
     #: Fixed value: the pattern in the vocabulary file.
@@ -76,27 +79,22 @@ class _WordIds:
     #: ASCII signs, and the bytes of Latin-1 characters but signs and digits.
     SIGNS = bytes(b for b in range(33, 127) if not bytes([b]).isalnum())
     LATIN = bytes(b for b in range(256) if bytes([b]).isalpha() or 0x80 <= b <= 0xBF or b in (0xC2, 0xC3))
+    #: Words of the letters that ``PLAIN`` admits, without the signs behind them.
+    LETTERS = "^[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+$"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words, self.parts = _Remembered(REMEMBERED_WORDS), _Remembered(REMEMBERED_PARTS)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def _encode(self, strings: list[str]) -> Iterator[bytes]:
-        """Ids of each string, from one call on all: the last token of a part carries the end mark.
-
-        A string of several parts has several marks, so ``strings`` are single parts, or come one by one.
-        """
-        if not strings:
-            return
-        ids = np.array(self.tokenizer.encode(" ".join(strings), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        assert len(ends) == len(strings)
-        raw = ids.tobytes()
-        for first, last in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            yield raw[4 * first:4 * last]
+
+    def _encode(self, parts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each part, as the vocabulary's pre-tokenizer gives it to the model."""
+        model = self.tokenizer.model
+        for part in parts:
+            text = part.decode()
+            if not text.isascii():
+                text = self.as_bytes.pre_tokenize_str(text)[0][0]
+            yield array("I", [token.id for token in model.tokenize(text)]).tobytes()
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -121,7 +119,7 @@ class _WordIds:
         self.parts.make_room()
         cut = list(map(self._cut, new))
         missing = self.parts.missing({x for parts in cut if parts for x in parts})
-        self.parts.update(zip(missing, self._encode([x.decode() for x in missing])))
+        self.parts.update(zip(missing, self._encode(missing)))
         known = self.parts.__getitem__
         for word, parts in zip(new, cut):
             if parts is None:
@@ -132,16 +130,54 @@ class _WordIds:
                 self.words[word] = b"".join(map(known, parts))
 
     def of(self, documents: list[bytes | None]) -> Iterator[bytes]:
-        for at in range(0, len(documents), AT_ONCE):
-            yield from self._of(documents[at:at + AT_ONCE])
+        first = size = 0
+        for at, document in enumerate(documents):
+            size += len(document or b"")
+            if size >= AT_ONCE or at + 1 == len(documents):
+                yield from self._of(documents[first:at + 1])
+                first, size = at + 1, 0
 
     def _of(self, documents: list[bytes | None]) -> Iterator[bytes]:
-        split = [(d or b"").split() for d in documents]
-        words = self.words
-        words.make_room()
-        self._learn(words.missing(set().union(*split)))
-        for found in split:
-            yield b"".join(map(words.__getitem__, found))
+        split = pc.ascii_split_whitespace(pa.array([d or b"" for d in documents], pa.binary()).cast(pa.string()))
+        found = split.flatten().dictionary_encode()
+        ids, starts, sizes = self._of_words(found.dictionary)
+        word = found.indices.to_numpy()
+        ends = 4 * np.concatenate([[0], np.cumsum(sizes[word])])[split.offsets.to_numpy()]
+        stream = _gathered(ids, starts[word], sizes[word]).tobytes()
+        for first, last in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield stream[first:last]
+
+    def _of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, and where those of each begin and how many they are."""
+        core = pc.ascii_rtrim(words, characters=self.SIGNS.decode())
+        easy = pc.match_substring_regex(core, self.LETTERS)
+        odd = texts(words.filter(pc.invert(easy)))
+        self.words.make_room()
+        self._learn(self.words.missing(set(odd)))
+        signs = pc.replace_substring_regex(words.filter(easy), self.LETTERS[:-1], "")
+        cut = pa.concat_arrays([pc.utf8_lower(core.filter(easy)), signs]).dictionary_encode()
+        parts = texts(cut.dictionary)
+        self.parts.make_room()
+        missing = self.parts.missing(set(parts))
+        self.parts.update(zip(missing, self._encode(missing)))
+
+        # Every word is two of these, of which the second may be empty.
+        known = [*map(self.parts.__getitem__, parts), *map(self.words.__getitem__, odd), b""]
+        easy = easy.to_numpy(zero_copy_only=False)
+        two = np.full((len(words), 2), len(known) - 1)
+        two[easy] = cut.indices.to_numpy().reshape(2, -1).T
+        two[~easy, 0] = len(parts) + np.arange(len(odd))
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, two = np.cumsum(sizes) - sizes, two.ravel()
+        ids = _gathered(np.frombuffer(b"".join(known), "<u4"), starts[two], sizes[two])
+        sizes = sizes[two].reshape(-1, 2).sum(axis=1)
+        return ids, np.cumsum(sizes) - sizes, sizes
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start:start + size] of each start and size, one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(sizes.sum())]
 
 
 @lru_cache(maxsize=2)

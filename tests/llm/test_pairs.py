@@ -97,6 +97,29 @@ def test_matrix_alone_finds_all_links(spark, texts, monkeypatch):
     assert sorted(map(tuple, found.collect())) == expected_components([(r[0], r[1]) for r in data])
 
 
+def test_ngram_join_shuffles_no_texts_that_link_with_nothing(spark, texts, monkeypatch):
+    """The texts kept for the second pass are those that may link, and are not joined with the sets to be told apart."""
+    kept = []
+
+    def watched(docs, sets, on, n):
+        found = may_match(docs, sets, on, n)
+        kept.append((found._jdf.queryExecution().executedPlan().toString(), found.count(), docs.count()))
+        return found
+
+    may_match = ngram_join.may_match
+    monkeypatch.setattr(ngram_join, "may_match", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = rows([*texts, *(" ".join(f"own{i}w{j}" for j in range(40)) for i in range(300))])
+        data += data[:60]
+        found = ngram_join.jaccard_components(spark.createDataFrame(data, SCHEMA), Workspace(spark))
+        assert sorted(map(tuple, found.collect())) == expected_components([(r[0], r[1]) for r in data])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (plan, passed, total), = kept
+    assert "SortMergeJoin" not in plan and passed < total - 200
+
+
 def test_substring_dedup(spark, texts):
     data = rows(texts)
     found = substring.dedup_substrings(spark.createDataFrame(data, SCHEMA), Workspace(spark))

@@ -12,7 +12,7 @@ from triplewright import Settings, Workspace
 from triplewright.operators import sets
 from triplewright.operators.closure import transitive_closure
 from triplewright.operators.components import connected_components, expand_pairs
-from triplewright.operators.joins import Counts, grid, hot_values, skew_join
+from triplewright.operators.joins import Counts, grid, hot_values, may_match, skew_join
 from triplewright.operators.sameas import functional_links, pair_counts
 
 HOT = Settings(hot_share=0.1, salts=4, pairs_per_task=0, cell_rows=100, pair_block=5)
@@ -211,3 +211,15 @@ def test_closure_finds_a_pair_of_a_chain_about_once(spark, monkeypatch):
     edges = spark.range(200).selectExpr("'n' || id as src", "'n' || (id + 1) as dst")
     assert transitive_closure(Workspace(spark), edges).count() == 20_100
     assert sum(made) <= 3 * 20_100
+
+
+def test_may_match_keeps_all_rows_that_match_and_few_others(spark):
+    left = spark.range(20_000).selectExpr("if(id % 1000 = 1, null, id) as k", "string(id % 7) as t", "id as row").repartition(5)
+    right = left.where("k % 50 = 0").select("k", "t")
+    found = may_match(left, right, ["k", "t"], right.count())
+    assert found.columns == left.columns
+    ids = {r.row for r in found.collect()}
+    assert ids >= set(range(0, 20_000, 50)) and len(ids) < 400 + 2 * 20_000 / 16
+    assert may_match(left, right.limit(0), ["k", "t"], 0).count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

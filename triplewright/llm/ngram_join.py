@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.joins import may_match
 from ..plans.workspace import Workspace
 from .words import mixed, shingle_set, texts
 
@@ -174,7 +175,7 @@ def _shared(rows: DataFrame, tokens: int, whole: bool, width: int) -> DataFrame:
 def _profiles(width: int):
     """(key, n, weight, marks, prefix, text) of each set: its mean class, minimal hashes and rarest tokens.
 
-    A text that is not that of the key is left out, as where rows of one id have different texts.
+    A text that is not that of the key is left out.
     """
     seeds = mixed(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64))
 
@@ -313,24 +314,29 @@ def _matrix_links(profiles: DataFrame, parts: DataFrame, ws: Workspace, width: i
 
 
 def _joined_sets(docs: DataFrame, sets: DataFrame, ws: Workspace, width: int) -> DataFrame:
-    """(node, rep): the component of every set (key, rep, n) of ``sets`` that links with another."""
+    """(node, rep): the component of every set (key, rep, text_hash, n) of ``sets`` that links with another."""
     with ws.inner() as first:
         tokens = sets.agg(F.sum("n")).first()[0] or 0
         early = _shared(docs, tokens // 2, False, width).groupBy("key").agg(F.sum("shared").alias("shared"))
         least = f"greatest(1, floor(ceil({NUMERATOR} * n / {DENOMINATOR}) / 4))"
-        alive = first.save(sets.join(early, "key").where(f"shared >= {least} and rep is not null"), "alive")
-        tokens = alive.agg(F.sum("n")).first()[0] or 0
-        wide = first.save(docs.join(alive.select("key", F.col("rep").alias("doc_id"), "n"), "doc_id")
-                          .select("key", "n", "text"), "wide")
-        classes = _shared(wide, tokens, True, width).groupBy("key").agg(
+        alive = first.save(sets.join(early.withColumnRenamed("shared", "early"), "key")
+                           .where(f"early >= {least} and rep is not null").drop("early"), "alive")
+        rows, tokens = alive.agg(F.count("*"), F.sum("n")).first()
+        # Texts are not shuffled to be told apart: a few others pass, which add to the counts and leave after that.
+        row = ["doc_id", "text_hash"]
+        wide = may_match(docs.withColumn("text_hash", F.xxhash64("text")),
+                         alive.select(F.col("rep").alias("doc_id"), "text_hash"), row, rows)
+        wide = first.save(wide, "wide")
+        classes = _shared(wide, tokens or 0, True, width).groupBy("key").agg(
             F.sum("shared").alias("shared"), F.sort_array(F.collect_list(F.struct("range", "classes"))).alias("parts"))
         joined = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["classes"]))
-        classes = first.save(classes.join(alive.select("key", "n"), "key")
-                             .where(f"shared >= ceil({NUMERATOR} * n / {DENOMINATOR})")
-                             .select("key", joined.alias("classes")), "classes")
-        profiles = ws.save(wide.join(classes, "key").select("key", "text", "classes").mapInArrow(
-            _profiles(width), "key long, n long, weight double, marks array<long>, prefix array<long>, text string")
-            .dropDuplicates(["key"]), ws.unique("profiles"))
+        classes = first.save(classes.join(alive, "key").where(f"shared >= ceil({NUMERATOR} * n / {DENOMINATOR})")
+                             .select("key", F.col("rep").alias("doc_id"), "text_hash", joined.alias("classes")), "classes")
+        # A set has one row here, and repeated documents meet in the partitions of the join.
+        held = wide.join(classes, row).dropDuplicates(row)
+        profiles = ws.save(held.select("key", "text", "classes").mapInArrow(
+            _profiles(width), "key long, n long, weight double, marks array<long>, prefix array<long>, text string"),
+            ws.unique("profiles"))
     with ws.inner() as second:
         typical = ws.save(_typical_links(profiles, second, width), ws.unique("typical_links"))
     with ws.inner() as third:
@@ -357,7 +363,8 @@ def jaccard_rows(docs: DataFrame, ws: Workspace, width: int = WIDTH) -> DataFram
     described_rows = ws.save(described(docs, width), ws.unique("described"))
     with ws.inner() as step:
         sets = step.save(described_rows.where("key is not null").groupBy("key").agg(
-            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "sets")
+            F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("first"),
+            F.min("n_shingles").alias("n")).select("key", F.col("first.doc_id").alias("rep"), "first.text_hash", "n"), "sets")
         parts = step.save(_joined_sets(docs, sets, step, width), "parts")
         parts = parts.select(F.col("node").alias("key"), F.col("rep").alias("part"))
         members = parts.join(sets.select("key", "rep"), "key")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..settings import Settings
 
+#: Bits of a bitmap for each row that it marks, and in all.
+MARK_BITS = 32
+MOST_MARK_BITS = 1 << 28
+
 
 def hot_values(df: DataFrame, column: str, settings: Settings, rows: int | None = None) -> dict[str, int]:
     """Values of ``column`` holding more than ``settings.hot_share`` of the rows, with their number of cells.
@@ -77,6 +81,22 @@ def meeting_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+def may_match(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """The rows of ``left`` whose ``on`` is in ``right``, and a few others, without a shuffle of ``left``.
+
+    ``right`` is made known to all tasks as one bitmap with MARK_BITS for each of its ``rows`` rows, so about one row
+    in MARK_BITS passes by chance. An exact join has to follow. Over MOST_MARK_BITS in all, more rows pass by chance.
+    """
+    bits = min(MOST_MARK_BITS, max(1, rows) * MARK_BITS)
+    place = F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    marks = right.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_marks"))
+    placed = left.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    bit = "cast(bitmap_bit_position(_place) as int)"
+    marked = f"getbit(cast(conv(hex(substring(_marks, {bit} div 8 + 1, 1)), 16, 10) as int), {bit} % 8) = 1"
+    return placed.join(F.broadcast(marks), "_bucket").where(marked).select(*left.columns)
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot_on: str | list[str], hot_left=(), hot_right=(),
               salts: int = 32, small: str | None = None) -> DataFrame:
     """Inner join on ``on`` with the rows of hot keys spread over a grid of cells.

@@ -255,3 +255,20 @@ def test_a_chunk_is_cut_once(spark):
     terms = {r.chunk: r.terms for r in divergence.chunk_terms(chunks).collect()}
     assert terms == {"every": ["every"], "word": ["word"], "time": ["time"]}
     assert held.select(F.explode("chunks")).count() <= 4 * 10
+
+
+def test_chunks_of_a_block_are_told_apart_in_columns(monkeypatch):
+    """Documents are counted some at a time, and the block has each chunk once, whatever their number."""
+    docs = [(("en", "s"), b"b a, b --\x0bA"), (("en", "t"), b""), (("en", "s"), " é\x85é  ... b\n".encode()), (("en", "s"), b"b a,")]
+    for at_once in (divergence.AT_ONCE, 1, 12):
+        monkeypatch.setattr(divergence, "AT_ONCE", at_once)
+        block = divergence._Block()
+        for group, content in docs:
+            block.add(group, content)
+        row = block.record().to_pylist()[0]
+        group, size, ids, counts = divergence._unpack(row["postings"])
+        assert sorted(row["chunks"]) == ["A", "a,", "b", "é\x85é"] and row["sources"] == ["s", "t"]
+        assert group.tolist() == [0, 1, 0, 0] and size.tolist() == [3, 0, 2, 2]
+        found = [(row["chunks"][i], n) for i, n in zip(ids, counts)]
+        assert [sorted(found[:3]), sorted(found[3:5]), sorted(found[5:])] == [
+            [("A", 1), ("a,", 1), ("b", 2)], [("b", 1), ("é\x85é", 1)], [("a,", 1), ("b", 1)]]

@@ -8,12 +8,11 @@ one for each document and chunk, and each block then counts distinct documents a
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +26,17 @@ MIN_DOCUMENTS = 30
 RANKS = 50
 #: A block ends after this many bytes of text.
 BLOCK_BYTES = 24_000_000
+#: Bytes of text of a block that are split at the same time, about.
+AT_ONCE = 8_000_000
 SCALE = 1_000_000_000
 SMOOTH = 5
 
 BLOCKS = "block long, chunks array<string>, langs array<string>, sources array<string>, postings binary"
-TERMS = "chunk string, terms array<string>"
+TERMS = "chunk string, terms string"
 PARTIAL = "lang string, term string, docs long, sources array<string>, occurrences array<long>"
 #: A-Z become lower case; of ASCII only letters belong to terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_IN_TERMS = re.compile(rb"[A-Za-z\x80-\xff]")
+_IN_TERMS = r"[A-Za-z]|[^\x00-\x7F]"
 
 
 class _Numbers(dict):
@@ -54,30 +55,50 @@ class _Block:
     """Documents as numbered chunks with counts; chunks without a character of a term are left out."""
 
     def __init__(self):
-        self.chunks, self.groups, self.size = _Numbers(), _Numbers(), 0
-        self.doc_group, self.doc_size, self.ids, self.counts = [], [], [], []
+        self.groups, self.size = _Numbers(), 0
+        self.doc_group, self.contents, self.doc_size, self.names, self.ids, self.counts = [], [], [], [], [], []
+        self.waiting = 0
 
     def add(self, group: tuple[bytes, bytes], content: bytes) -> None:
-        counted = Counter(content.split())
         self.size += len(content)
+        self.waiting += len(content)
         self.doc_group.append(self.groups[group])
-        self.doc_size.append(len(counted))
-        self.ids.append(np.fromiter(map(self.chunks.__getitem__, counted), np.int32, len(counted)))
-        self.counts.append(np.fromiter(counted.values(), np.int32, len(counted)))
+        self.contents.append(content)
+        if self.waiting >= AT_ONCE:
+            self._count()
+
+    def _count(self) -> None:
+        """Number and count the chunks of the documents that wait; numbers are those of ``names`` for now."""
+        split = pc.ascii_split_whitespace(_strings(self.contents))
+        found = split.flatten().dictionary_encode()
+        document = np.repeat(np.arange(len(split), dtype=np.int64), np.diff(split.offsets.to_numpy()))
+        width = max(1, len(found.dictionary))
+        each, counts = np.unique(document * width + found.indices.to_numpy(), return_counts=True)
+        useful = pc.match_substring_regex(found.dictionary, _IN_TERMS).to_numpy(zero_copy_only=False)
+        kept = useful[each % width] if len(each) else np.zeros(0, bool)
+        each, counts = each[kept], counts[kept]
+        self.doc_size.append(np.bincount(each // width, minlength=len(split)))
+        before = sum(map(len, self.names))
+        self.names.append(found.dictionary.filter(pa.array(useful)))
+        self.ids.append((np.cumsum(useful) - 1)[each % width] + before)
+        self.counts.append(counts)
+        self.contents, self.waiting = [], 0
 
     def record(self) -> pa.RecordBatch:
-        names = list(self.chunks)
-        useful = np.fromiter((_IN_TERMS.search(c) is not None for c in names), bool, len(names))
-        ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
-        document = np.repeat(np.arange(len(self.doc_size)), self.doc_size)
-        kept = useful[ids]
-        ids, counts, document = (np.cumsum(useful) - 1)[ids[kept]], counts[kept], document[kept]
-        order = np.lexsort((ids, document))
-        packed = _pack(np.array(self.doc_group), np.bincount(document, minlength=len(self.doc_size)), ids[order], counts[order])
-        lists = ([c for c, u in zip(names, useful) if u], [lang for lang, _ in self.groups], [s for _, s in self.groups])
+        if self.contents:
+            self._count()
+        coded = pa.concat_arrays(self.names).dictionary_encode()
+        doc_size, counts = np.concatenate(self.doc_size), np.concatenate(self.counts)
+        ids = coded.indices.to_numpy()[np.concatenate(self.ids)].astype(np.int64)
+        # Ids rise within a document.
+        document = np.repeat(np.arange(len(doc_size), dtype=np.int64), doc_size)
+        order = np.argsort(document * max(1, len(coded.dictionary)) + ids)
+        packed = _pack(np.array(self.doc_group), doc_size, ids[order], counts[order])
+        langs, sources = (_strings([g[i] for g in self.groups]) for i in (0, 1))
+        lists = coded.dictionary, langs, sources
         return pa.RecordBatch.from_arrays(
             [pa.array([0], pa.int64()),
-             *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), _strings(x)) for x in lists),
+             *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists),
              pa.array([packed], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
 
 
@@ -124,7 +145,7 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                 if block.size >= block_bytes:
                     yield block.record()
                     block = _Block()
-        if block.doc_size:
+        if block.doc_group:
             yield block.record()
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
@@ -139,22 +160,27 @@ def _documents(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[tuple[tupl
             yield (one_lang, one_source), content
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """Rows of ``TERMS``: the terms of each chunk (chunk) in order, with repeats; chunks without terms are left out."""
+def _cut_chunks(chunks: DataFrame) -> DataFrame:
+    """Rows of ``TERMS``: the terms of each chunk (chunk) in order, with repeats, joined by one space.
+
+    Chunks without terms are left out. One string a chunk is less work to write and to shuffle than an array.
+    """
 
     def cut(batches):
         for batch in batches:
             # A chunk holds no white space, so what is split here are its terms.
-            parts = [c.translate(_TERM_BYTES).split() for c in texts(batch.column(0))]
-            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-            flat = _strings([t for p in parts for t in p])
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)],
-                                             ["chunk", "terms"])
-            yield out.filter(pa.array(np.diff(ends) > 0))
+            terms = _strings([b" ".join(c.translate(_TERM_BYTES).split()) for c in texts(batch.column(0))])
+            out = pa.RecordBatch.from_arrays([batch.column(0), terms], ["chunk", "terms"])
+            yield out.filter(pc.greater(pc.binary_length(terms), 0))
 
     return chunks.select("chunk").mapInArrow(cut, TERMS)
 
 
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk, terms): the terms of each chunk in order, with repeats, as an array; chunks without terms are left out."""
+    return _cut_chunks(chunks).select("chunk", F.split("terms", " ").alias("terms"))
+
+
 def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """Rows of ``PARTIAL`` of one block, from its postings and from the terms of its chunks."""
     columns = [c.split()[0] for c in PARTIAL.split(", ")]
@@ -166,7 +192,7 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
     doc_group, doc_size, ids, counts = _unpack(row["postings"])
 
     # Terms of chunk i are codes[first[i]:first[i] + size[i]].
-    lists = right.column("terms").combine_chunks()
+    lists = pc.ascii_split_whitespace(right.column("terms").combine_chunks())
     coded = lists.flatten().dictionary_encode()
     codes, names = coded.indices.to_numpy(), coded.dictionary
     place = right.column("number").to_numpy()
@@ -220,7 +246,7 @@ def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMEN
     with ws.inner() as step:
         held = step.save(blocks(docs), "blocks")
         listed = held.select("block", F.posexplode("chunks").alias("number", "chunk"))
-        terms = step.save(chunk_terms(listed.select("chunk").distinct()), "terms")
+        terms = step.save(_cut_chunks(listed.select("chunk").distinct()), "terms")
         # Written, so that the shuffles of this join are gone when the blocks are shuffled.
         joined = step.save(listed.join(terms, "chunk").select(F.col("block").alias("of_block"), "number", "terms"),
                            "joined")
@@ -231,8 +257,8 @@ def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMEN
             step.drop(table)
         kept = step.save(partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(
             F.col("docs") >= min_documents).select("lang", "term"), "kept")
-        each = partial.select("lang", "term", F.inline(F.arrays_zip("sources", "occurrences")).alias("source", "occurrences"))
-        each = each.join(F.broadcast(kept) if _small(kept) else kept, ["lang", "term"], "left_semi")
+        each = partial.join(F.broadcast(kept) if _small(kept) else kept, ["lang", "term"], "left_semi").select(
+            "lang", "term", F.inline(F.arrays_zip("sources", "occurrences")).alias("source", "occurrences"))
         sums = each.groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("occurrences"))
         held = sums.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "occurrences")).alias("held"))
         return ws.save(held, ws.unique("counts"))

@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +275,30 @@ def test_chunks_of_a_block_are_told_apart_in_columns(monkeypatch):
         found = [(row["chunks"][i], n) for i, n in zip(ids, counts)]
         assert [sorted(found[:3]), sorted(found[3:5]), sorted(found[5:])] == [
             [("A", 1), ("a,", 1), ("b", 2)], [("b", 1), ("é\x85é", 1)], [("a,", 1), ("b", 1)]]
+
+
+def test_a_block_is_counted_some_documents_at_a_time(monkeypatch):
+    """Counting a block takes a few bytes for each of its chunks, not several columns of all of them at once."""
+    r = random.Random(4)
+    block = divergence._Block()
+    for i in range(3000):
+        block.add((b"en", b"s%d" % (i % 3)), " ".join(r.choices([f"w{k}" for k in range(2000)], k=200)).encode())
+    record = block.record()
+    entries = int(divergence._unpack(record.column("postings")[0].as_py())[1].sum())
+    left = pa.Table.from_batches([record])
+    chunks = record.column("chunks").flatten()
+    right = pa.table({"number": pa.array(range(len(chunks)), pa.int32()), "terms": chunks})
+
+    def counted():
+        tracemalloc.start()
+        out = divergence._count_block(None, left, right).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sorted((x["lang"], x["term"], x["docs"], *sorted(zip(x["sources"], x["occurrences"]))) for x in out), peak
+
+    monkeypatch.setattr(divergence, "ENTRIES_AT_ONCE", 1 << 40)
+    whole, most = counted()
+    monkeypatch.setattr(divergence, "ENTRIES_AT_ONCE", 50_000)
+    parts, peak = counted()
+    assert whole == parts and len(whole) == 2000 and sum(x[2] for x in whole) == entries
+    assert peak < 30 * entries < most

@@ -27,7 +27,10 @@ RANKS = 50
 #: A block ends after this many bytes of text.
 BLOCK_BYTES = 24_000_000
 #: Bytes of text of a block that are split at the same time, about.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
+#: Chunks of the documents of a block whose terms are counted at the same time, about, and rows handed on at once.
+ENTRIES_AT_ONCE = 250_000
+ROWS_AT_ONCE = 20_000
 SCALE = 1_000_000_000
 SMOOTH = 5
 
@@ -77,23 +80,25 @@ class _Block:
         useful = pc.match_substring_regex(found.dictionary, _IN_TERMS).to_numpy(zero_copy_only=False)
         kept = useful[each % width] if len(each) else np.zeros(0, bool)
         each, counts = each[kept], counts[kept]
-        self.doc_size.append(np.bincount(each // width, minlength=len(split)))
+        self.doc_size.append(np.bincount(each // width, minlength=len(split)).astype(np.uint32))
         before = sum(map(len, self.names))
         self.names.append(found.dictionary.filter(pa.array(useful)))
-        self.ids.append((np.cumsum(useful) - 1)[each % width] + before)
-        self.counts.append(counts)
+        self.ids.append(((np.cumsum(useful) - 1)[each % width] + before).astype(np.int32))
+        self.counts.append(counts.astype(np.uint32))
         self.contents, self.waiting = [], 0
 
     def record(self) -> pa.RecordBatch:
         if self.contents:
             self._count()
         coded = pa.concat_arrays(self.names).dictionary_encode()
-        doc_size, counts = np.concatenate(self.doc_size), np.concatenate(self.counts)
-        ids = coded.indices.to_numpy()[np.concatenate(self.ids)].astype(np.int64)
-        # Ids rise within a document.
-        document = np.repeat(np.arange(len(doc_size), dtype=np.int64), doc_size)
-        order = np.argsort(document * max(1, len(coded.dictionary)) + ids)
-        packed = _pack(np.array(self.doc_group), doc_size, ids[order], counts[order])
+        numbers, self.names = coded.indices.to_numpy(), []
+        for i, (sizes, ids) in enumerate(zip(self.doc_size, self.ids)):
+            # Ids rise within a document.
+            ids = numbers[ids]
+            document = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+            order = np.argsort(document * max(1, len(coded.dictionary)) + ids)
+            self.ids[i], self.counts[i] = ids[order], self.counts[i][order]
+        packed = _pack(np.array(self.doc_group), *map(np.concatenate, (self.doc_size, self.ids, self.counts)))
         langs, sources = (_strings([g[i] for g in self.groups]) for i in (0, 1))
         lists = coded.dictionary, langs, sources
         return pa.RecordBatch.from_arrays(
@@ -104,8 +109,8 @@ class _Block:
 
 def _pack(doc_group: np.ndarray, doc_size: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Postings as four arrays, compressed. Ids rise within a document and are kept as steps, halves apart."""
-    steps = np.diff(ids, prepend=0)
-    starts = (np.cumsum(doc_size) - doc_size)[doc_size > 0]
+    steps = np.diff(ids, prepend=ids.dtype.type(0))
+    starts = (np.cumsum(doc_size, dtype=np.int64) - doc_size)[doc_size > 0]
     steps[starts] = ids[starts]
     steps = steps.astype("<u4")
     planes = [doc_group.astype("<u4"), doc_size.astype("<u4"), (steps & 0xFFFF).astype("<u2"),
@@ -114,19 +119,30 @@ def _pack(doc_group: np.ndarray, doc_size: np.ndarray, ids: np.ndarray, counts:
     return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(p.tobytes() for p in planes))
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_group, doc_size, ids and counts."""
+def _unpacked(packed: bytes, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_group, doc_size, ids and counts of some documents after the others, with about ``at_once`` ids each time."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
     documents, n = np.frombuffer(raw, "<u8", 2).tolist()
-    at, out = 16, []
+    at, planes = 16, []
     for dtype, length in (("<u4", documents), ("<u4", documents), ("<u2", n), ("<u2", n), ("<u4", n)):
-        out.append(np.frombuffer(raw, dtype, length, at).astype(np.int64))
+        planes.append(np.frombuffer(raw, dtype, length, at))
         at += length * int(dtype[2])
-    doc_group, doc_size, low, high, counts = out
-    total = np.cumsum(low | high << 16)
-    starts = np.cumsum(doc_size) - doc_size
-    before = np.concatenate([[0], total])[starts]
-    return doc_group, doc_size, total - np.repeat(before, doc_size), counts
+    doc_group, doc_size, low, high, counts = planes
+    ends = np.cumsum(doc_size, dtype=np.int64)
+    first = lo = 0
+    while first < documents:
+        last = max(first + 1, int(np.searchsorted(ends, lo + at_once, "right")))
+        hi, sizes = int(ends[last - 1]), doc_size[first:last].astype(np.int64)
+        total = np.cumsum(low[lo:hi].astype(np.int64) | high[lo:hi].astype(np.int64) << 16)
+        before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+        yield (doc_group[first:last].astype(np.int64), sizes, total - np.repeat(before, sizes),
+               counts[lo:hi].astype(np.int64))
+        first, lo = last, hi
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_group, doc_size, ids and counts of all documents of a block."""
+    return next(_unpacked(packed, 1 << 62))
 
 
 def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -145,8 +161,11 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                 if block.size >= block_bytes:
                     yield block.record()
                     block = _Block()
+                    pa.default_memory_pool().release_unused()
         if block.doc_group:
             yield block.record()
+        del block
+        pa.default_memory_pool().release_unused()
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
                           for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
@@ -189,52 +208,63 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return empty
     row = left.select(["langs", "sources", "postings"]).to_pylist()[0]
-    doc_group, doc_size, ids, counts = _unpack(row["postings"])
 
-    # Terms of chunk i are codes[first[i]:first[i] + size[i]].
+    # Terms of chunk i are codes[first[i]:first[i] + size[i]]; a chunk without a row has none.
     lists = pc.ascii_split_whitespace(right.column("terms").combine_chunks())
     coded = lists.flatten().dictionary_encode()
     codes, names = coded.indices.to_numpy(), coded.dictionary
     place = right.column("number").to_numpy()
     sizes = np.diff(lists.offsets.to_numpy())
-    total = max(int(place.max()), int(ids.max(initial=-1))) + 1
-    first, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    first, size = np.zeros(int(place.max()) + 2, np.int64), np.zeros(int(place.max()) + 2, np.int64)
     first[place], size[place] = np.cumsum(sizes) - sizes, sizes
 
-    # One entry for each document, chunk and term of it; then one for each document and term.
-    documents = np.repeat(np.arange(len(doc_size)), doc_size)
-    each = size[ids]
-    if not each.sum():
-        return empty
-    inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-    term = codes[np.repeat(first[ids], each) + inside].astype(np.int64)
-    held, at = np.unique(np.repeat(documents, each) * len(names) + term, return_inverse=True)
-    occurrences = np.bincount(at, np.repeat(counts, each)).astype(np.int64)
-
-    # Groups numbered so that those of a language follow each other; then one entry for each of these and term.
+    # Groups numbered so that those of a language follow each other.
     order = sorted(range(len(row["langs"])), key=lambda g: (row["langs"][g], row["sources"][g]))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     langs = [row["langs"][g] for g in order]
     lang_of = np.cumsum([False, *(a != b for a, b in zip(langs, langs[1:]))])
-    group = rank[doc_group[held // len(names)]]
-    term = held % len(names)
-    wide = (lang_of[group] * len(names) + term) * len(order) + group  # by language, term and group
-    found, at = np.unique(wide, return_inverse=True)
-    sums = np.bincount(at, occurrences).astype(np.int64)
-    docs = np.bincount(at).astype(np.int64)
+
+    # Some documents at a time: one entry for each of them, chunk and term of it; then one for each document and term;
+    # then one for each language, term and group, with its documents and occurrences.
+    parts = []
+    for doc_group, doc_size, ids, counts in _unpacked(row["postings"], ENTRIES_AT_ONCE):
+        ids = np.minimum(ids, len(size) - 1)
+        each = size[ids]
+        if not each.sum():
+            continue
+        inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        held = codes[np.repeat(first[ids], each) + inside].astype(np.int64)
+        held += np.repeat(np.repeat(np.arange(len(doc_size)), doc_size), each) * len(names)
+        held, occurrences = _summed(held, np.repeat(counts, each))
+        group = rank[doc_group[held // len(names)]]
+        wide = (lang_of[group] * len(names) + held % len(names)) * len(order) + group
+        parts.append(_summed(wide, occurrences, np.ones(len(wide), np.int64)))
+    if not parts:
+        return empty
+    found, sums, docs = _summed(*map(np.concatenate, zip(*parts)))
     by_term = found // len(order)
     starts = np.flatnonzero(np.diff(by_term, prepend=-1))
     ends = pa.array(np.append(starts, len(found)).astype(np.int32))
     lang_names = pa.array(list(dict.fromkeys(langs)), pa.string())
     sources = pa.array([row["sources"][g] for g in order], pa.string())
-    return pa.table([
+    out = pa.table([
         lang_names.take(pa.array(by_term[starts] // len(names))),
         names.cast(pa.string()).take(pa.array(by_term[starts] % len(names))),
         pa.array(np.add.reduceat(docs, starts)),
         pa.ListArray.from_arrays(ends, sources.take(pa.array(found % len(order)))),
         pa.ListArray.from_arrays(ends, pa.array(sums)),
     ], names=columns)
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(out.to_batches(max_chunksize=ROWS_AT_ONCE))
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of the values of each."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], *(np.add.reduceat(v[order], starts) for v in values)
 
 
 def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMENTS) -> DataFrame:

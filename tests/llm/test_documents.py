@@ -335,3 +335,15 @@ def test_plain_words_are_cut_as_columns(monkeypatch):
         ids = Columns(VOCABULARY)
         found = list(ids.of([t.encode() for t in texts]))
         assert [list(struct.unpack(f"<{len(f) // 4}I", f)) for f in found] == expected
+
+
+def test_a_task_leaves_no_words_in_its_worker():
+    """Spark keeps workers, so what a task has remembered would be in the memory of all that run there later."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["some words, 12 of them", None])})
+    rows = packing._piece_rows(VOCABULARY, 2048)
+    found = [list(rows(iter([batch, batch]))) for _ in range(2)]
+    assert found[0] == found[1] and [b.num_rows for b in found[0]] == [2, 2]
+    ids = packing._word_ids(VOCABULARY)
+    assert not (ids.words or ids.words.older or ids.parts or ids.parts.older)

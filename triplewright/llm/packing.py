@@ -26,12 +26,12 @@ from ..plans.workspace import Workspace
 from .words import texts
 
 CAPACITY = 2048
-#: Words, and parts of words, whose ids a worker remembers in each of two generations: what was not met since the last
+#: Words, and parts of words, whose ids a task remembers in each of two generations: what was not met since the last
 #: one began is forgotten.
 REMEMBERED_WORDS = 250_000
 REMEMBERED_PARTS = 400_000
 #: Bytes of documents that are split into words at the same time, about.
-AT_ONCE = 8_000_000
+AT_ONCE = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, last_rank long, per_bin long, first_bin long, base long"
 
@@ -57,6 +57,10 @@ class _Remembered(dict):
             self.older = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class _WordIds:
     """Token ids of white-space separated words as little-endian bytes.
@@ -87,6 +91,11 @@ class _WordIds:
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words, self.parts = _Remembered(REMEMBERED_WORDS), _Remembered(REMEMBERED_PARTS)
 
+    def forget(self) -> None:
+        """Forget all words and parts, but not the vocabulary."""
+        self.words.forget()
+        self.parts.forget()
+
     def _encode(self, parts: list[bytes]) -> Iterator[bytes]:
         """Ids of each part, as the vocabulary's pre-tokenizer gives it to the model."""
         model = self.tokenizer.model
@@ -186,14 +195,8 @@ def _word_ids(path: str) -> _WordIds:
     return _WordIds(path)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text",
-                     doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``PIECES``: the token ids of each document, then id 0, cut only where longer than ``capacity``.
-
-    A null or empty text gives one piece of one token. Repeated rows give repeated pieces.
-    """
-
-    def pieces(batches):
+def _piece_rows(tokenizer_path: str, capacity: int):
+    def rows(batches):
         ids = _word_ids(tokenizer_path)
         for batch in batches:
             out = [[], [], [], [], []]
@@ -207,8 +210,22 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # Spark keeps the worker, and what runs in it next has its memory.
+        ids.forget()
+        pa.default_memory_pool().release_unused()
+
+    return rows
+
+
+def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, text: str = "text",
+                     doc_id: str = "doc_id") -> DataFrame:
+    """Rows of ``PIECES``: the token ids of each document, then id 0, cut only where longer than ``capacity``.
+
+    A null or empty text gives one piece of one token. Repeated rows give repeated pieces.
+    """
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(
+        _piece_rows(tokenizer_path, capacity), PIECES)
 
 
 class _Gaps:

@@ -244,6 +244,32 @@ def test_audit_in_small_blocks_without_broadcasts(spark, monkeypatch):
         spark.conf.unset("spark.triplewright.broadcast_bytes")
 
 
+def test_blocks_meet_in_buckets_without_joins(spark, monkeypatch):
+    """Counting terms joins nothing and unfolds nothing: no step has a row for each chunk or term of a block."""
+    plans = []
+
+    class Watched(Workspace):
+        def save(self, df, name, *args, **kwargs):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().save(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(divergence, "blocks", lambda docs, of=divergence.blocks: of(docs, block_bytes=500))
+    monkeypatch.setattr(divergence, "BUCKET_BYTES", 200, raising=False)
+    docs = mixed_docs()
+    frame = spark.createDataFrame(docs, "text string, lang string, source string").repartition(3)
+    found = divergence.term_counts(frame, Watched(spark), 4).collect()
+    held, sums = Counter(), Counter()
+    for text, lang, source in docs:
+        text = "".join(c.lower() if c.isascii() else c for c in text or "")
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text))
+        held.update((lang or "", t) for t in terms)
+        for t, n in terms.items():
+            sums[lang or "", t, source or ""] += n
+    assert {(r.lang, r.term, s, n) for r in found for s, n in r.held} == {(*k, n) for k, n in sums.items() if held[k[:2]] >= 4}
+    assert len(found) == sum(n >= 4 for n in held.values()) > 10
+    assert plans and not any(word in plan for plan in plans for word in ("Join", "Generate"))
+
+
 def test_audit_without_kept_terms(spark):
     assert audit(spark, [], 1) == []
     docs = [("a b", "en", "s"), ("c", "en", "t"), (None, "fr", "s")]

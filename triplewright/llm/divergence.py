@@ -1,9 +1,10 @@
 """How the sources of a language differ in their words, by chunk factorization.
 
 Texts are cut at white space only, and documents are kept in blocks: a block has a list of its distinct chunks,
-and for each document the numbers of its chunks with their counts. Every globally distinct chunk is cut into
-terms once. Its terms are joined back to the blocks that hold it, one row for each block and chunk instead of
-one for each document and chunk, and each block then counts distinct documents and occurrences of its terms.
+and for each document the numbers of its chunks with their counts. Blocks deal their chunks to buckets by a hash,
+and a bucket, where equal chunks of all blocks meet, cuts every distinct one into terms once and hands the terms
+back to the blocks. Each block then counts distinct documents and occurrences of its terms and deals the counts
+to buckets of terms, where those of all blocks are added up and the terms of too few documents are left out.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +33,21 @@ AT_ONCE = 4_000_000
 #: Chunks of the documents of a block whose terms are counted at the same time, about, and rows handed on at once.
 ENTRIES_AT_ONCE = 250_000
 ROWS_AT_ONCE = 20_000
+#: Buckets are as many as it takes for each to get about this many bytes of the blocks' chunks.
+BUCKET_BYTES = 8_000_000
 SCALE = 1_000_000_000
 SMOOTH = 5
 
-BLOCKS = "block long, chunks array<string>, langs array<string>, sources array<string>, postings binary"
+BLOCKS = ("block long, chunks array<string>, langs array<string>, sources array<string>, postings binary, "
+          "chunk_bytes long")
 TERMS = "chunk string, terms string"
+#: Cells are rows as a compressed Arrow stream: the chunks of a block in one bucket (number, chunk), or their terms
+#: (number, terms), or rows of ``PARTIAL`` of a block in one bucket.
+CHUNK_CELLS = "block long, bucket int, cell binary"
+TERM_CELLS = "of_block long, cell binary"
 PARTIAL = "lang string, term string, docs long, sources array<string>, occurrences array<long>"
+COUNT_CELLS = "bucket int, cell binary"
+COUNTS = "lang string, term string, held array<struct<source: string, occurrences: long>>"
 #: A-Z become lower case; of ASCII only letters belong to terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _IN_TERMS = r"[A-Za-z]|[^\x00-\x7F]"
@@ -104,7 +115,8 @@ class _Block:
         return pa.RecordBatch.from_arrays(
             [pa.array([0], pa.int64()),
              *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists),
-             pa.array([packed], pa.binary())], [c.split()[0] for c in BLOCKS.split(", ")])
+             pa.array([packed], pa.binary()), pa.array([pc.binary_length(coded.dictionary).to_numpy().sum()], pa.int64())],
+            [c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def _pack(doc_group: np.ndarray, doc_size: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bytes:
@@ -179,25 +191,72 @@ def _documents(batch: pa.RecordBatch, at_once: int = 256) -> Iterator[tuple[tupl
             yield (one_lang, one_source), content
 
 
-def _cut_chunks(chunks: DataFrame) -> DataFrame:
-    """Rows of ``TERMS``: the terms of each chunk (chunk) in order, with repeats, joined by one space.
+def _cut(chunks: pa.Array) -> pa.Array:
+    """The terms of each chunk in order, with repeats, joined by one space: less work to shuffle than an array."""
+    # A chunk holds no white space, so what is split here are its terms.
+    return _strings([b" ".join(c.translate(_TERM_BYTES).split()) for c in texts(chunks)])
 
-    Chunks without terms are left out. One string a chunk is less work to write and to shuffle than an array.
-    """
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk, terms): the terms of each chunk in order, with repeats, as an array; chunks without terms are left out."""
 
     def cut(batches):
         for batch in batches:
-            # A chunk holds no white space, so what is split here are its terms.
-            terms = _strings([b" ".join(c.translate(_TERM_BYTES).split()) for c in texts(batch.column(0))])
+            terms = _cut(batch.column(0))
             out = pa.RecordBatch.from_arrays([batch.column(0), terms], ["chunk", "terms"])
             yield out.filter(pc.greater(pc.binary_length(terms), 0))
 
-    return chunks.select("chunk").mapInArrow(cut, TERMS)
+    return chunks.select("chunk").mapInArrow(cut, TERMS).select("chunk", F.split("terms", " ").alias("terms"))
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, terms): the terms of each chunk in order, with repeats, as an array; chunks without terms are left out."""
-    return _cut_chunks(chunks).select("chunk", F.split("terms", " ").alias("terms"))
+def _dealt(rows: pa.Table, by: str, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """The buckets that get some of these rows, by the hash of a string column, and the cell of each."""
+    values = pa.concat_arrays(rows.column(by).chunks or [pa.array([], pa.string())])
+    bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, texts(values)), np.uint64, len(values)) % np.uint64(buckets)
+    bucket = bucket.astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows.take(pa.array(order))
+    starts = np.flatnonzero(np.diff(bucket, prepend=np.int32(-1)))
+    cells = [_cell(rows.slice(lo, hi - lo)) for lo, hi in zip(starts, [*starts[1:], len(order)])]
+    return pa.array(bucket[starts], pa.int32()), pa.array(cells, pa.binary())
+
+
+def _cell(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(cells: pa.ChunkedArray) -> list[pa.Table]:
+    """The rows of each cell."""
+    return [pa.ipc.open_stream(c.as_buffer()).read_all() for c in cells]
+
+
+def _chunk_cells(held: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``CHUNK_CELLS``: the chunks of each block by bucket."""
+
+    def deal(batches):
+        for batch in batches:
+            for block, chunks in zip(batch.column(0), batch.column(1)):
+                numbered = pa.table([pa.array(np.arange(len(chunks), dtype=np.int32)), chunks.values], ["number", "chunk"])
+                found, cells = _dealt(numbered, "chunk", buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(found), pa.int64()), found, cells],
+                                                 ["block", "bucket", "cell"])
+
+    return held.select("block", "chunks").mapInArrow(deal, CHUNK_CELLS)
+
+
+def _cut_bucket(cells: pa.Table) -> pa.Table:
+    """Rows of ``TERM_CELLS`` for the chunks of one bucket; each distinct chunk is cut once."""
+    parts = _rows(cells.column("cell"))
+    coded = pa.concat_arrays([c for p in parts for c in p.column("chunk").chunks]).dictionary_encode()
+    terms, at, out = _cut(coded.dictionary), 0, []
+    for part in parts:
+        mine = terms.take(coded.indices.slice(at, len(part)))
+        out.append(_cell(pa.table([part.column("number"), mine], ["number", "terms"])))
+        at += len(part)
+    return pa.table([cells.column("block"), pa.array(out, pa.binary())], ["of_block", "cell"])
 
 
 def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -259,6 +318,43 @@ def _count_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out.to_batches(max_chunksize=ROWS_AT_ONCE))
 
 
+def _count_cells(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """Rows of ``COUNT_CELLS`` of one block, from its postings and its rows of ``TERM_CELLS``."""
+    none = pa.table([pa.array([], pa.int32()), pa.array([], pa.string())], ["number", "terms"])
+    counted = _count_block(None, left, pa.concat_tables([none, *_rows(right.column("cell"))])).combine_chunks()
+    return pa.table(_dealt(counted, "term", buckets), ["bucket", "cell"])
+
+
+def _add_cells(cells: pa.Table, min_documents: int) -> pa.Table:
+    """Rows of ``COUNTS`` for the terms of one bucket that ``min_documents`` documents of the language hold."""
+    partial = pa.concat_tables(_rows(cells.column("cell"))).combine_chunks()
+    lang, term = (pa.concat_arrays(partial.column(c).chunks).dictionary_encode() for c in ("lang", "term"))
+    key = lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+    keys, docs = _summed(key, partial.column("docs").to_numpy())
+    keys = keys[docs >= min_documents]
+
+    # One entry for each row of a kept term and source of it, then one for each kept term and source.
+    mine = np.isin(key, keys)
+    partial, key = partial.filter(pa.array(mine)), key[mine]
+    listed, sums = (pa.concat_arrays(partial.column(c).chunks or [pa.array([], partial.schema.field(c).type)])
+                    for c in ("sources", "occurrences"))
+    sources = listed.flatten().dictionary_encode()
+    width = max(1, len(sources.dictionary))
+    entry = np.repeat(np.searchsorted(keys, key), listed.value_lengths().to_numpy()) * width + sources.indices.to_numpy()
+    if len(entry):
+        entry, sums = _summed(entry, sums.flatten().to_numpy())
+    else:
+        sums = np.zeros(0, np.int64)
+    ends = np.searchsorted(entry // width, np.arange(len(keys) + 1)).astype(np.int32)
+    held = pa.StructArray.from_arrays([sources.dictionary.take(pa.array(entry % width)), pa.array(sums, pa.int64())],
+                                      ["source", "occurrences"])
+    out = pa.table([lang.dictionary.take(pa.array(keys // len(term.dictionary))),
+                    term.dictionary.take(pa.array(keys % len(term.dictionary))),
+                    pa.ListArray.from_arrays(pa.array(ends), held)], ["lang", "term", "held"])
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(out.to_batches(max_chunksize=ROWS_AT_ONCE), out.schema)
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct keys in order, and the sums of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -271,35 +367,17 @@ def term_counts(docs: DataFrame, ws: Workspace, min_documents: int = MIN_DOCUMEN
     """(lang, term, held) of the terms that ``min_documents`` documents of the language hold; ``held`` has an entry
     (source, occurrences) for each source with the term.
 
-    Blocks are added up in every task before they are shuffled, so that a term of all documents is no hot key.
+    Chunks and counts travel as cells, one for each block and bucket, so no step has a row for each chunk of a block.
     """
     with ws.inner() as step:
         held = step.save(blocks(docs), "blocks")
-        listed = held.select("block", F.posexplode("chunks").alias("number", "chunk"))
-        terms = step.save(_cut_chunks(listed.select("chunk").distinct()), "terms")
-        # Written, so that the shuffles of this join are gone when the blocks are shuffled.
-        joined = step.save(listed.join(terms, "chunk").select(F.col("block").alias("of_block"), "number", "terms"),
-                           "joined")
-        step.drop("terms")
-        counted = held.drop("chunks").groupBy("block").cogroup(joined.groupBy("of_block"))
-        partial = step.save(counted.applyInArrow(_count_block, PARTIAL), "partial")
-        for table in ("blocks", "joined"):
-            step.drop(table)
-        kept = step.save(partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(
-            F.col("docs") >= min_documents).select("lang", "term"), "kept")
-        each = partial.join(F.broadcast(kept) if _small(kept) else kept, ["lang", "term"], "left_semi").select(
-            "lang", "term", F.inline(F.arrays_zip("sources", "occurrences")).alias("source", "occurrences"))
-        sums = each.groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("occurrences"))
-        held = sums.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "occurrences")).alias("held"))
-        return ws.save(held, ws.unique("counts"))
-
-
-def _small(df: DataFrame) -> bool:
-    """Whether a saved frame of strings may be broadcast, by its measured rows and bytes."""
-    settings = Settings.of(df.sparkSession)
-    width = " + ".join(f"octet_length({c})" for c in df.columns)
-    n, nbytes = df.selectExpr("count(*)", f"coalesce(sum({width}), 0)").first()
-    return n <= settings.broadcast_rows and nbytes <= settings.broadcast_bytes
+        nbytes = held.agg(F.sum("chunk_bytes").alias("n")).first().n or 0
+        buckets = -(-nbytes // BUCKET_BYTES) or 1
+        terms = _chunk_cells(held, buckets).groupBy("bucket").applyInArrow(_cut_bucket, TERM_CELLS)
+        counted = held.drop("chunks", "chunk_bytes").groupBy("block").cogroup(terms.groupBy("of_block")).applyInArrow(
+            lambda left, right: _count_cells(left, right, buckets), COUNT_CELLS)
+        counts = counted.groupBy("bucket").applyInArrow(lambda cells: _add_cells(cells, min_documents), COUNTS)
+        return ws.save(counts, ws.unique("counts"))
 
 
 def _share(count: str, total: str, terms: str) -> str:

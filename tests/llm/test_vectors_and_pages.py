@@ -62,6 +62,46 @@ def test_repeated_vectors(spark):
     assert found == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
 
 
+def test_top_k_in_shares_of_both_sides(spark, monkeypatch):
+    """Matrices and postings, numbers of every size and long and short vectors, in several cells."""
+    r = np.random.default_rng(2)
+    for name, size in (("CANDIDATES", 16), ("QUERIES", 2), ("PAIRS", 40), ("CELLS", 3), ("QUERY_BYTES", 400_000),
+                       ("STRIP", 4), ("FIRST", 4)):
+        monkeypatch.setattr(topk, name, size)
+    sizes = [1.0, 30.0, 1e4, 1e6]
+    vectors = [(i, (r.integers(-2, 3, r.integers(0, 9)) * sizes[r.integers(0, 4) if i % 7 == 0 else 0]).tolist())
+               for i in range(300)]
+    long = [0.0] * 400_000
+    long[3], long[-1] = 2.0, 5.0
+    vectors += [(400, long), (401, long), (402, vectors[0][1])]
+    asked = set(range(0, 403, 50))
+    assert search(spark, vectors) == expected_top(vectors, asked, 5)
+
+
+def test_a_cell_keeps_the_best_of_all_its_blocks(monkeypatch):
+    """Rows of a query do not grow with the blocks of candidates, and matrices are not scored term by term."""
+    monkeypatch.setattr(topk, "_scores", None)
+    r = np.random.default_rng(3)
+    values = r.integers(-40, 40, (600, 8))
+    values[50:90] = values[0]
+    values[300:420] = r.integers(-3, 3, (120, 8)) * 2 ** 20  # exact in the larger type only
+
+    def block(part, hashed):
+        rows = values[part]
+        ids = np.arange(600)[part][::-1].copy()
+        found = topk._packed(ids, ids if hashed else None, np.full(len(rows), 8), rows[::-1].ravel())
+        return {"cell": 7} | found
+
+    rows = [block(slice(0, 600, 50), True)] + [block(slice(n, n + 30), False) for n in range(0, 600, 30)]
+    batch = topk.pa.RecordBatch.from_pylist(rows, topk.pa.schema([("cell", topk.pa.int32()), *topk._BLOCK]))
+    found = [x for part in topk._search(5)([batch.slice(0, 9), batch.slice(9)]) for x in part.to_pylist()]
+    assert len(found) == 5 * 12
+    scores = values @ values.T
+    for q in range(0, 600, 50):
+        best = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        assert [(-x["score"], x["vec_id"]) for x in found if x["query_id"] == q] == best
+
+
 PAGES = "page_id long, url string, html string, host string, good string, trust double"
 
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,12 +13,13 @@ from conftest import key_of, rows
 from triplewright import Settings, Workspace, materialize
 from triplewright import vocab as v
 from triplewright.operators import rules
+from triplewright.plans import materialize as plan
 from triplewright.plans import store as module
 from triplewright.plans.axioms import select_axioms
 from triplewright.plans.heat import Heat
 from triplewright.plans.rulebook import compile_rules
 from triplewright.plans.store import AS_WRITTEN, FactStore, distinct_facts
-from triplewright.plans.workspace import session_values
+from triplewright.plans.workspace import SHUFFLE_CLEANUP, SHUFFLE_PARTITIONS, session_values
 
 LARGE = Settings(broadcast_rows=0)
 
@@ -230,3 +232,46 @@ def test_a_bloom_filter_cuts_the_triples(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "might_contain" in plan and "bloom_filter_agg" in plan
         assert found.count() == 30_000 * 5 // 50
+
+
+def sizes_on_disk(folder):
+    return {p.name.split("-")[0] for p in Path(folder).iterdir()}
+
+
+def test_large_steps_get_partitions_by_their_rows(spark, monkeypatch):
+    """Compiling and rounds shuffle into as many partitions as the rows ask for, and the session keeps its own number."""
+    seen = {}
+
+    def noted(name, function):
+        def call(*args, **kwargs):
+            seen[name] = {k: spark.conf.get(k) for k in (SHUFFLE_PARTITIONS, SHUFFLE_CLEANUP)}
+            return function(*args, **kwargs)
+        monkeypatch.setattr(plan, name, call)
+
+    for name in ("compile_rules", "_apply", "sameas_classes"):
+        noted(name, getattr(plan, name))
+    triples = [t for i in range(4) for t in graphs.random_graph(i, f"g{i}")]
+    before = spark.conf.get(SHUFFLE_PARTITIONS)
+    result = materialize(spark.createDataFrame(triples, "s string, p string, o string"), Settings(bucket_rows=10))
+    result.metrics()
+    width = -(-len(triples) // 10)
+    assert width > int(before) and result.facts.buckets == width
+    assert seen["_apply"] == seen["sameas_classes"] == {SHUFFLE_PARTITIONS: str(width), SHUFFLE_CLEANUP: "true"}
+    assert int(seen["compile_rules"][SHUFFLE_PARTITIONS]) == max(int(before), -(-4 * result.axioms.count() // 10))
+    assert spark.conf.get(SHUFFLE_PARTITIONS) == before
+
+
+def test_the_staged_copy_goes_when_its_rows_are_written(spark):
+    triples = [("<a>", "<p>", "<b>"), ("<p>", v.DOMAIN, "<C>"), ("<x>", "<y>", "<z>")]
+    given = spark.createDataFrame(triples, "s string, p string, o string")
+    result = materialize(given, stage=True)
+    names = sizes_on_disk(result.workspace.root)
+    assert "facts" in names and "input" not in names
+    assert rows(result.asserted) == sorted(triples)
+    assert rows(result.new_types) == [("<a>", "<C>")] and result.input_triples == 3
+
+
+def test_default_buckets_hold_what_a_task_can_sort(spark):
+    """A round brings a few candidates for each known fact, and they are added up and sorted in one task each."""
+    store = FactStore(Workspace(spark), Settings(), 586_000_000)
+    assert 586_000_000 / store.buckets <= 500_000
